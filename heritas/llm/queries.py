@@ -13,6 +13,20 @@ def op1_token_output(spark, sf_dir):
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers as P
+
+    from heritas.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, content=False)
+
+
+def op9_media_flac(spark, sf_dir):
+    from heritas.llm.flac import decode_media, encode_media
+
+    return decode_media(encode_media(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
