@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heritas.llm.common import table
+from heritas.llm.common import held_out, table
 
 
 def op1_token_output(spark, sf_dir):
@@ -21,6 +21,15 @@ def op2_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, content=False)
 
 
+def op8_language_id(spark, sf_dir):
+    from heritas.llm.language_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(docs["doc_id"])))
+    found = predict(docs, model)
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_media_flac(spark, sf_dir):
     from heritas.llm.flac import decode_media, encode_media
 
