@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, and later passes read it instead of recomputing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/heritas-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._heritas_path = path
     return out

@@ -21,6 +21,16 @@ def op2_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, content=False)
 
 
+def op6_toxicity(spark, sf_dir):
+    from heritas.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit(docs.where(~held_out(docs["doc_id"])).join(labels, "doc_id"))
+    found = score(docs, model)
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "score", (found["score"] >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_language_id(spark, sf_dir):
     from heritas.llm.language_id import fit, predict
 

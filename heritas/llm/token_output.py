@@ -27,6 +27,7 @@ result; further columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -43,6 +44,9 @@ CACHE_ENTRIES = 600_000
 END_ID = 0
 
 _TOKENIZER: dict = {}
+_MARKS = frozenset(",.;:!?")
+#: A line break at an end, or beside white space: part of a longer pre-token.
+_BESIDE_BREAK = re.compile(r"^\n|\n$|\s\n|\n\s")
 
 
 class ChunkEncoder:
@@ -55,13 +59,65 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.line = self.tokenizer.token_to_id("\u010a")
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        found = self.tokenizer.encode_batch_fast([lead + x for x in new], add_special_tokens=False)
-        for x, e in zip(new, found):
-            known[x] = np.array(e.ids, "<u4").tobytes()
+        """Encode chunks without a line break: one text of many lines a call.
+        A line break before a space or letter is a pre-token of its own, so
+        its id parts the chunks' ids."""
+        for at in range(0, len(new), 20_000):
+            own = new[at : at + 20_000]
+            text = "".join([f"{lead}{x}\n" for x in own])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(ids == self.line)
+            if len(end) != len(own):
+                raise ValueError("chunks and line breaks don't match")
+            raw = ids.tobytes()
+            for x, a, b in zip(own, [0, *((end[:-1] + 1) * 4).tolist()], (end * 4).tolist()):
+                known[x] = raw[a:b]
+
+    def _learn_all(self, rest: set[str], first: set[str]) -> None:
+        """Chunks of letters go to the library as they are.  Of others, a mark
+        behind letters and line breaks between marks or letters are pre-tokens
+        of their own and are cut off before, so that fewer chunks differ."""
+        odd, word_marks, lines = [], [], []
+        plain, plain_first, marks = set(), set(), set()
+        for x in rest.difference(self.rest):
+            if x.isalpha():
+                plain.add(x)
+            elif x[-1:] in _MARKS and x[:-1].isalpha():
+                word_marks.append(x)
+            elif "\n" in x and not _BESIDE_BREAK.search(x):
+                lines.append(x)
+            else:
+                odd.append(x)
+        plain.update([x[:-1] for x in word_marks])
+        cut = [x.split("\n") for x in lines]
+        for x in first.difference(self.first):
+            if "\n" in x:
+                odd.append("\n" + x)
+            else:
+                plain_first.add(x)
+        for x in cut:
+            plain.add(x[0])
+            plain_first.update(x[1:])
+        marks.update([x[-1] for x in word_marks])
+        self._learn(self.rest, list(plain.difference(self.rest)), " ")
+        self._learn(self.first, list((plain_first | marks).difference(self.first)), "")
+        for x in word_marks:
+            self.rest[x] = self.rest[x[:-1]] + self.first[x[-1]]
+        line = int(self.line).to_bytes(4, "little")
+        for x, parts in zip(lines, cut):
+            self.rest[x] = line.join([self.rest[parts[0]], *[self.first[p] for p in parts[1:]]])
+        whole = [" " + x if x[:1] != "\n" else x[1:] for x in odd]
+        for x, e in zip(odd, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4").tobytes()
+            if x[:1] == "\n":
+                self.first[x[1:]] = ids
+            else:
+                self.rest[x] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.rest) > CACHE_ENTRIES:
@@ -72,8 +128,7 @@ class ChunkEncoder:
         words: set[str] = set()
         for x in cut:
             words.update(x[1:])
-        self._learn(self.rest, list(words.difference(self.rest)), " ")
-        self._learn(self.first, list({x[0] for x in cut}.difference(self.first)), "")
+        self._learn_all(words, {x[0] for x in cut})
         first, get = self.first, self.rest.__getitem__
         return [first[x[0]] + b"".join(map(get, x[1:])) for x in cut]
 
