@@ -33,6 +33,8 @@ FIT_DOCS = 20_000
 LEXICON = 5_000
 #: Shorter terms must be met exactly.
 FUZZY_FROM = 5
+LEAST_ODDS = 2.5
+LEAST_SURETY = 9.0
 WINDOW = 6
 QUOTED_SHARE = 0.25
 FUZZY_SHARE = 0.6
@@ -185,8 +187,12 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON) -
     words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (F.lit(total["bad"]) + 1.0)) - F.log((F.col("good") + 0.5) / (F.lit(good) + 1.0))
-    least = max(3, int(0.005 * total["bad"]))
-    picked = counts.where((F.col("bad") >= least) & (F.length("word") > 2)).select("word", odds.alias("odds")).where(F.col("odds") >= 2.5).orderBy(F.desc("odds"), "word").limit(lexicon).collect()
+    # How surely a word leans to toxic documents: its log-likelihood ratio, so
+    # that rare words don't enter by chance.
+    share = min(max(total["bad"], 1) / max(total["n"], 1), 0.9)
+    seen = F.col("bad") + F.col("good")
+    surety = F.col("bad") * F.log(F.col("bad") / (seen * share)) + F.col("good") * F.log((F.col("good") + 1e-9) / (seen * (1 - share)))
+    picked = counts.where((F.col("bad") >= 3) & (F.length("word") > 2)).select("word", odds.alias("odds"), surety.alias("surety")).where((F.col("odds") >= LEAST_ODDS) & (F.col("surety") >= LEAST_SURETY)).orderBy(F.desc("odds"), "word").limit(lexicon).collect()
     model = Model({r["word"]: float(r["odds"]) for r in picked}, set())
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
