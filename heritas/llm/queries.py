@@ -21,6 +21,12 @@ def op2_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, content=False)
 
 
+def op5_near_dedup(spark, sf_dir):
+    from heritas.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op6_toxicity(spark, sf_dir):
     from heritas.llm.toxicity import fit, score
 
