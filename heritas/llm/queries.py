@@ -37,6 +37,12 @@ def op6_toxicity(spark, sf_dir):
     return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "score", (found["score"] >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_pii(spark, sf_dir):
+    from heritas.llm.pii import digest, personal_data
+
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op8_language_id(spark, sf_dir):
     from heritas.llm.language_id import fit, predict
 
