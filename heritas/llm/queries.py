@@ -21,12 +21,34 @@ def op2_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, content=False)
 
 
+def tracked_hosts(pages):
+    """The list that op4 blocks: hosts of at least one url with a utm_source
+    parameter."""
+    from heritas.llm.url_filter import with_host_path
+
+    return with_host_path(pages.where(pages["url"].contains("utm_source="))).selectExpr("host AS key").distinct()
+
+
+def op4_url_filter(spark, sf_dir):
+    from heritas.llm.url_filter import judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, tracked_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_near_dedup(spark, sf_dir):
     from heritas.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op10_decontamination(spark, sf_dir):
+    from heritas.llm.decontamination import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
 def op6_toxicity(spark, sf_dir):
     from heritas.llm.toxicity import fit, score
 
@@ -62,5 +84,29 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+OP4_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^?#]*)', 1) ELSE '' END AS bare
+  FROM pages),
+named AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(bare, ''), '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    substr(coalesce(bare, ''), length(regexp_extract(coalesce(bare, ''), '^([^/]*)', 1)) + 1) AS path
+  FROM cut),
+listed AS (SELECT DISTINCT host FROM named WHERE strpos(url, 'utm_source=') > 0),
+ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM named)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN host IN (SELECT host FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL}
