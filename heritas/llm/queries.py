@@ -21,6 +21,12 @@ def op2_bpe(spark, sf_dir):
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, content=False)
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    from heritas.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def tracked_hosts(pages):
     """The list that op4 blocks: hosts of at least one url with a utm_source
     parameter."""
