@@ -1,16 +1,75 @@
-"""Corpus pipeline: stages that each call one operator of heritas.llm."""
+"""Corpus pipeline: language ID, near-duplicates, benchmark decontamination,
+personal data and byte-level BPE, each by one operator of heritas.llm.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its
+predecessor kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from heritas.llm.common import held_out, prepare, stored, table
+
+#: A long text whose language stays ambiguous isn't in one of the languages.
+LONG = 400
+
+
+def language_id(spark, docs, sf_dir):
+    """Drop documents without letters (`und`), and long ones whose nearest
+    codewords can't be told apart.  Null texts go, short ambiguous ones stay."""
+    from heritas.llm.language_id import fit, flags
+
+    prepare(spark)
+    model = fit(docs.where(~held_out(docs["doc_id"])))
+    found = docs.withColumn("language__", flags(docs, model))
+    good = (F.col("language__.lang_pred") != "und") & ~(F.col("language__.ambiguous") & (F.col("language__.letters") >= LONG))
+    return found.where(good).select(*docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Keep the smallest doc_id of each group of near-duplicates (five-word
+    shingles, similarity 0.8); of rows with one doc_id, all or none stay."""
+    from heritas.llm.near_dedup import near_duplicates
+
+    gone = near_duplicates(docs, size=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Drop documents that hold a benchmark item."""
+    from heritas.llm.decontamination import contaminated, keyed
 
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    key = ["row_key_a__", "row_key_b__"]
+    return keyed(docs).join(found.select(*key).distinct(), key, "left_anti").select(*docs.columns)
+
+
+def personal_data(spark, docs, sf_dir):
+    """Replace personal data by <kind>; n_chars follows the text."""
+    from heritas.llm.pii import masked
+
+    out = masked(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def bpe(spark, docs, sf_dir):
+    """Ids of every text, and digests of ids and of the decoded bytes."""
+    import public_tokenizers as P
+
+    from heritas.llm.bpe import encode_decode
+
+    return encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).drop("decoded")
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("bpe", bpe)]
+
+#: Hashed n-grams, components, SimHash and BPE can't be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """Apply the stages to documents, each written as Parquet and read again."""
-    from heritas.llm.common import prepare, stored, table
-
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -61,28 +61,28 @@ def items_table(benchmark: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_a", F.xxhash64("doc_id", "text")).withColumn("row_b", F.xxhash64("text", "doc_id", F.lit(7)))
+    return docs.withColumn("row_key_a__", F.xxhash64("doc_id", "text")).withColumn("row_key_b__", F.xxhash64("text", "doc_id", F.lit(7)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """row_a, row_b, doc_id, item_id, start, n_words, similarity: of each
+    """row_key_a__, row_key_b__, doc_id, item_id, start, n_words, similarity: of each
     document and item its most similar window (the first of equal ones)."""
     prepare(docs.sparkSession)
     items = stored(items_table(benchmark), "items")
     places = stored(items.select("size", "n", F.posexplode("shingles").alias("at", "shingle")).distinct(), "item-shingles")
     texts = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where("text IS NOT NULL")
-    split = texts.select("row_a", "row_b", F.expr(WORDS).alias("words"))
+    split = texts.select("row_key_a__", "row_key_b__", F.expr(WORDS).alias("words"))
     hits = None
     for (size,) in items.select("size").distinct().collect():  # 1 to 5, as a rule 5 alone
-        own = split.select("row_a", "row_b", F.size("words").alias("length"), F.posexplode(F.expr(_shingles("words", str(size)))).alias("pos", "shingle"))
-        found = own.join(places.where(F.col("size") == size).select("shingle", "at", "n"), "shingle").select("row_a", "row_b", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n"))).alias("start"), F.lit(size).alias("size"), "n")
+        own = split.select("row_key_a__", "row_key_b__", F.size("words").alias("length"), F.posexplode(F.expr(_shingles("words", str(size)))).alias("pos", "shingle"))
+        found = own.join(places.where(F.col("size") == size).select("shingle", "at", "n"), "shingle").select("row_key_a__", "row_key_b__", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n"))).alias("start"), F.lit(size).alias("size"), "n")
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = split.select("row_a", "row_b", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("n")).limit(0)
-    wanted = stored(hits.distinct().groupBy("row_a", "row_b").agg(F.collect_list(F.struct("start", "size", "n")).alias("wanted")), "windows-wanted")
-    rows = texts.join(wanted, ["row_a", "row_b"]).select("row_a", "row_b", "doc_id", F.expr(WORDS).alias("words"), "wanted").dropDuplicates(["row_a", "row_b"])
-    windows = rows.select("row_a", "row_b", "doc_id", F.explode(F.expr("transform(wanted, x -> struct(x.start AS start, x.size AS size, slice(words, x.start + 1, x.n) AS words))")).alias("w")).select("row_a", "row_b", "doc_id", "w.*")
-    windows = stored(windows.select("row_a", "row_b", "doc_id", "start", F.size("words").alias("n_words"), F.expr(_shingles("words", "size")).alias("theirs"), F.expr(_simhash("words")).alias("print")), "windows")
+        hits = split.select("row_key_a__", "row_key_b__", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("n")).limit(0)
+    wanted = stored(hits.distinct().groupBy("row_key_a__", "row_key_b__").agg(F.collect_list(F.struct("start", "size", "n")).alias("wanted")), "windows-wanted")
+    rows = texts.join(wanted, ["row_key_a__", "row_key_b__"]).select("row_key_a__", "row_key_b__", "doc_id", F.expr(WORDS).alias("words"), "wanted").dropDuplicates(["row_key_a__", "row_key_b__"])
+    windows = rows.select("row_key_a__", "row_key_b__", "doc_id", F.explode(F.expr("transform(wanted, x -> struct(x.start AS start, x.size AS size, slice(words, x.start + 1, x.n) AS words))")).alias("w")).select("row_key_a__", "row_key_b__", "doc_id", "w.*")
+    windows = stored(windows.select("row_key_a__", "row_key_b__", "doc_id", "start", F.size("words").alias("n_words"), F.expr(_shingles("words", "size")).alias("theirs"), F.expr(_simhash("words")).alias("print")), "windows")
 
     def blocks(column: str) -> str:
         return f"transform(sequence(0, 3), k -> struct(k AS block, shiftright({column}, 16 * k) & 65535L AS value))"
@@ -90,10 +90,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     index = items.select("item_id", "shingles", "fingerprint", F.explode(F.expr(blocks("fingerprint"))).alias("b"))
     index = index.withColumn("mask", F.explode(F.expr(f"filter(sequence(0L, 65535L), m -> bit_count(m) <= {FLIPS})")))
     index = stored(index.select(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_id", "fingerprint"), "index")
-    probes = windows.select("row_a", "row_b", "start", "n_words", "print", F.explode(F.expr(blocks("print"))).alias("b")).select("row_a", "row_b", "start", "n_words", "print", "b.*")
-    near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select("row_a", "row_b", "start", "n_words", "item_id").distinct()
-    pairs = near.join(windows, ["row_a", "row_b", "start", "n_words"]).join(items.select("item_id", "shingles"), "item_id")
+    probes = windows.select("row_key_a__", "row_key_b__", "start", "n_words", "print", F.explode(F.expr(blocks("print"))).alias("b")).select("row_key_a__", "row_key_b__", "start", "n_words", "print", "b.*")
+    near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select("row_key_a__", "row_key_b__", "start", "n_words", "item_id").distinct()
+    pairs = near.join(windows, ["row_key_a__", "row_key_b__", "start", "n_words"]).join(items.select("item_id", "shingles"), "item_id")
     both = F.expr("aggregate(array_distinct(theirs), 0, (s, h) -> s + least(size(filter(theirs, x -> x = h)), size(filter(shingles, x -> x = h))))")
     scored = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.lit(1), F.size("theirs") + F.size("shingles") - F.col("both")))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("row_a", "row_b", "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))
-    return best.select("row_a", "row_b", "w.doc_id", "item_id", "w.start", "w.n_words", "w.similarity")
+    best = scored.where(F.col("similarity") >= threshold).groupBy("row_key_a__", "row_key_b__", "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))
+    return best.select("row_key_a__", "row_key_b__", "w.doc_id", "item_id", "w.start", "w.n_words", "w.similarity")

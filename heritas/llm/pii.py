@@ -80,7 +80,7 @@ def with_base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> D
 
 def keyed(docs: DataFrame) -> DataFrame:
     """A key of the row's content, for rows whose id is null or repeated."""
-    return docs.withColumn("row_a", F.xxhash64("doc_id", "text")).withColumn("row_b", F.xxhash64("text", "doc_id", F.lit(7)))
+    return docs.withColumn("row_key_a__", F.xxhash64("doc_id", "text")).withColumn("row_key_b__", F.xxhash64("text", "doc_id", F.lit(7)))
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -98,12 +98,12 @@ def _scanned(docs: DataFrame) -> DataFrame:
         'value', substring(text, i.start + 1, i.stop - i.start),
         'left', element_at(split(concat(' ', rtrim('\\t\\n\\u000b\\f\\r ', substring(text, greatest(i.start - {REACH}, 0) + 1, least(i.start, {REACH})))), '[\\\\x20\\\\x09-\\\\x0D]'), -1),
         'right', element_at(split(concat(ltrim('\\t\\n\\u000b\\f\\r ', substring(text, i.stop + 1, {REACH})), ' '), '[\\\\x20\\\\x09-\\\\x0D]'), 1)))"""
-    return base.select("doc_id", "row_a", "row_b", "base", F.expr(beside).alias("instances"))
+    return base.select("doc_id", "row_key_a__", "row_key_b__", "base", F.expr(beside).alias("instances"))
 
 
 def discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """Spans of kind `id` by row key: row_a, row_b, more."""
-    one = scanned.select("row_a", "row_b", F.explode("instances").alias("i")).select("row_a", "row_b", "i.*")
+    """Spans of kind `id` by row key: row_key_a__, row_key_b__, more."""
+    one = scanned.select("row_key_a__", "row_key_b__", F.explode("instances").alias("i")).select("row_key_a__", "row_key_b__", "i.*")
     contexts = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))).alias("c")
     met = one.select("kind", "value", contexts).select("kind", "value", "c.*").where("word <> ''")
     edges = stored(met.groupBy("side", "word", "value").agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") < 4, 1).otherwise(0)).alias("seed")), "edges")
@@ -125,9 +125,9 @@ def discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
         trust = graph.join(scored, ["side", "word"]).groupBy("value").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("trust"))
         trust = stored(trust, "trust")
     good = scored.where(F.col("score") >= MIN_SCORE).select("side", "word")
-    loose = one.where("kind = 4").select("row_a", "row_b", "start", "stop", contexts).select("row_a", "row_b", "start", "stop", "c.*")
+    loose = one.where("kind = 4").select("row_key_a__", "row_key_b__", "start", "stop", contexts).select("row_key_a__", "row_key_b__", "start", "stop", "c.*")
     hit = loose.join(good, ["side", "word"], "left_semi")
-    return hit.groupBy("row_a", "row_b").agg(F.collect_set(F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("stop"))).alias("more"))
+    return hit.groupBy("row_key_a__", "row_key_b__").agg(F.collect_set(F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("stop"))).alias("more"))
 
 
 def _joined(spans: Column) -> Column:
@@ -140,7 +140,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     scanned = stored(_scanned(docs), "pii")
     more = discovered(scanned, docs)
-    both = scanned.select("doc_id", "row_a", "row_b", "base").join(more, ["row_a", "row_b"], "left")
+    both = scanned.select("doc_id", "row_key_a__", "row_key_b__", "base").join(more, ["row_key_a__", "row_key_b__"], "left")
     return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"CAST(array() AS {SPAN})")))).alias("spans"))
 
 
@@ -155,14 +155,14 @@ def masked(docs: DataFrame) -> DataFrame:
     the first one's kind)."""
     prepare(docs.sparkSession)
     scanned = stored(_scanned(docs), "pii")
-    more = discovered(scanned, docs)
-    whole = with_base_spans(keyed(docs), out="_base").join(more, ["row_a", "row_b"], "left")
-    spans = f"array_sort(concat(_base, coalesce(more, CAST(array() AS {SPAN}))))"
+    more = discovered(scanned, docs).withColumnRenamed("more", "more__")
+    whole = with_base_spans(keyed(docs), out="base__").join(more, ["row_key_a__", "row_key_b__"], "left")
+    spans = f"array_sort(concat(base__, coalesce(more__, CAST(array() AS {SPAN}))))"
     names = ", ".join(f"'<{k}>'" for k in KINDS)
     text = (
         f"aggregate({spans}, named_struct('at', 0, 'out', ''), (acc, s) -> IF(s.start >= acc.at, "
         f"named_struct('at', s.stop, 'out', concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), element_at(array({names}), s.kind + 1))), "
         "named_struct('at', greatest(acc.at, s.stop), 'out', acc.out)), acc -> concat(acc.out, substring(text, acc.at + 1)))"
     )
-    new = F.when(F.col("text").isNull(), F.col("text")).when((F.size("_base") == 0) & F.col("more").isNull(), F.col("text")).otherwise(F.expr(text))
+    new = F.when(F.col("text").isNull(), F.col("text")).when((F.size("base__") == 0) & F.col("more__").isNull(), F.col("text")).otherwise(F.expr(text))
     return whole.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])

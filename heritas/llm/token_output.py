@@ -40,7 +40,7 @@ from heritas.llm.common import drop_stored, prepare, space_chunks, stored
 
 BLOCK_TOKENS = 1 << 20
 #: Entries of a worker's chunk cache; it is emptied when full (memory bound).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 END_ID = 0
 
 _TOKENIZER: dict = {}
@@ -122,7 +122,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.rest) > CACHE_ENTRIES:
             self.rest.clear()
-        if len(self.first) > CACHE_ENTRIES // 4:
+        if len(self.first) > CACHE_ENTRIES // 8:
             self.first.clear()
         cut = [space_chunks(x) for x in texts]
         words: set[str] = set()
@@ -177,20 +177,27 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids (uint16 where the vocabulary allows, else uint32)."""
-    wide = _vocabulary(path) > 0xFFFF
+    """doc_id, n_tokens, ids (uint16 where the vocabulary allows, else uint32).
+    The last row of a task has its ids' frequencies in `counts`, and no ids."""
+    vocabulary = _vocabulary(path)
+    wide = vocabulary > 0xFFFF
 
     def run(batches):
-        enc = encoder(path)
+        enc, total = encoder(path), np.zeros(vocabulary, np.int64)
+        end = np.array([END_ID], "<u4").tobytes()
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for b in batches:
-            ids = [np.frombuffer(x, "<u4") for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            ids = [np.append(x, np.uint32(END_ID)) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
+            raw = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+            flat = np.frombuffer(b"".join(raw), "<u4")
+            total += np.bincount(flat, minlength=vocabulary)
+            size = np.array([len(x) // 4 for x in raw], np.int64)
+            packed, width = flat.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
+            stop = (np.cumsum(size) * width).tolist()
+            ids = [packed[i:j] for i, j in zip([0, *stop[:-1]], stop)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _vocabulary(path: str) -> int:
@@ -199,17 +206,16 @@ def _vocabulary(path: str) -> int:
 
 def frequency_ranks(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """rank -> id over all documents.  At most `vocabulary` rows reach the driver."""
-    kind = "<u4" if vocabulary > 0xFFFF else "<u2"
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary)
+                total += np.frombuffer(x.as_buffer(), np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("counts").where("counts IS NOT NULL").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(vocabulary, np.int64)
     total[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return np.argsort(-total, kind="stable").astype(np.uint32)
@@ -248,7 +254,7 @@ def write_blocks(tokens: DataFrame, ids_by_rank: np.ndarray) -> DataFrame:
 
     spark = tokens.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids").mapInArrow(run, shown)
+    return tokens.where("ids IS NOT NULL").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids").mapInArrow(run, shown)
 
 
 def read_blocks(blocks: DataFrame, ids_by_rank: np.ndarray) -> DataFrame:
