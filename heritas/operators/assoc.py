@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from heritas.functions.genotype import Method, center_method, with_encoding
 from heritas.operators.reml import Fit, Model, fit
 
-_ERFC = np.frompyfunc(erfc, 1, 1)
 RESULT = "snp_idx long, a1_freq double, beta double, se double, p double"
 
 
-def wald(z: np.ndarray, v_inverse: np.ndarray | None, vr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """beta, se, p of the rows of z; NaN where a locus has no variation.
-    Without v_inverse, V is the identity."""
-    w = z if v_inverse is None else z @ v_inverse
+def wald(z: np.ndarray, v_inverse: np.ndarray | float, vr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """beta, se, p of the rows of z; NaN where a locus has no variation.  A
+    number for V^-1 stands for that multiple of the identity."""
+    w = z * v_inverse if np.isscalar(v_inverse) else z @ v_inverse
     size = np.einsum("ij,ij->i", z, w)
     with np.errstate(divide="ignore", invalid="ignore"):
         beta = np.where(size > 1e-12, (z @ vr) / size, np.nan)
@@ -34,7 +33,7 @@ def wald(z: np.ndarray, v_inverse: np.ndarray | None, vr: np.ndarray) -> tuple[n
     return beta, se, p
 
 
-def scan(loci: DataFrame, v_inverse: np.ndarray | None, vr: np.ndarray, name: str | Method = "OCH", kind: str = "add", checked: bool = True) -> DataFrame:
+def scan(loci: DataFrame, v_inverse: np.ndarray | float, vr: np.ndarray, name: str | Method = "OCH", kind: str = "add", checked: bool = True) -> DataFrame:
     """snp_idx, a1_freq, beta, se, p (NULL for monomorphic loci)."""
     m = center_method(name) if checked else name
     shared = loci.sparkSession.sparkContext.broadcast((v_inverse, vr))
