@@ -57,7 +57,7 @@ def initial(model: Model) -> np.ndarray:
     random effects share a fifth."""
     v = model.y.var(ddof=1)
     g, r = len(model.genetic), len(model.random)
-    return np.array([0.5 * v, *[0.2 * v / r] * r, *[0.5 * v / g] * g])
+    return np.array([0.5 * v, *[0.2 * v / max(r, 1)] * r, *[0.5 * v / max(g, 1)] * g])
 
 
 def _inverse(a: np.ndarray, what: str) -> tuple[np.ndarray, float]:
