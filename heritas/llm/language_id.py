@@ -49,7 +49,7 @@ def code_words(n: int) -> np.ndarray:
     sides, which is the exhaustive code.  More: columns of fixed pseudo-random
     balanced splits, eight times the bits that n needs."""
     if n <= 7:
-        cols = [[1 if (s >> i) & 1 else -1 for i in range(n)] for s in range(1, 1 << (n - 1))]
+        cols = [[1 if (s >> i) & 1 else -1 for i in range(n)] for s in range(1, 1 << max(n - 1, 0))]
         return np.array(cols or [[1] * n], np.int8).T
     rng = np.random.default_rng(n)
     base = np.array([1, -1] * n, np.int8)[:n]
