@@ -9,11 +9,12 @@
    pairs: every class is paired with a pivot of its buckets (the class that
    shares most buckets, so as a rule the text that others were copied from),
    links are confirmed, and classes of one component aren't compared again.
-   Further turns take other pivots; at last all pairs that share a bucket but
-   no component, and weren't compared, are compared, so no link between
-   components is left out.
+   A further turn takes other pivots; at last, for all pairs that share a bucket
+   but no component, sketches are compared block by block, and a pair becomes a
+   row only if its sketches are near, and once, in the first bucket that it
+   shares; so no link between components is left out.
 4. The sketches' XOR population count drops pairs that are clearly less similar
-   (by more than five standard deviations); the full sets confirm the rest.
+   (by more than four standard deviations); the full sets confirm the rest.
 5. Connected components give the groups.
 
 With 20 bands of 4 values, a pair of similarity 0.85 is missed by all bands
@@ -37,10 +38,12 @@ from pyspark.sql import functions as F
 from heritas.llm.common import drop_stored, prepare, stored
 from heritas.llm.components import components
 
-PERMS, BANDS, ROWS = 128, 20, 4
-SKETCH_BITS = 512
+PERMS, BANDS, ROWS = 256, 20, 4
+SKETCH_BITS = 1024
 #: Turns with pivots before the rest is compared pair by pair.
-PIVOT_TURNS = 5
+PIVOT_TURNS = 2
+#: Classes of a bucket that meet in one comparison of sketches.
+BLOCK = 256
 #: Shingles hashed at once: memory bound for long texts.
 PIECE = 1 << 16
 
@@ -101,9 +104,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def most_differing(threshold: float) -> int:
     """XOR population count that a pair of this similarity exceeds with a
-    probability under 1e-6: five standard deviations above the mean of the
-    differing values, and of the bits that they leave odd."""
-    differ = PERMS * (1 - threshold) + 5 * math.sqrt(PERMS * threshold * (1 - threshold))
+    probability under 1e-4: four standard deviations above the mean of the
+    differing values, and the bits that they leave odd."""
+    differ = PERMS * (1 - threshold) + 4 * math.sqrt(PERMS * threshold * (1 - threshold))
     odd = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * min(differ, PERMS)))
     return math.ceil(odd + 5)
 
@@ -155,6 +158,39 @@ def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: in
     return near.join(own, "b").join(other, "a").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
+def _near_pairs(placed: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different components that share a bucket and whose sketches
+    are near: blocks of a bucket's classes against blocks."""
+    limit = most_differing(percent / 100)
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high").select("band", "many")
+    rows = placed.select("band", "rep", "component").join(open_, "band").join(sketch, "rep")
+    block = F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("many") / BLOCK)).cast("int")
+    blocks = stored(rows.groupBy("band", block.alias("block")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch", "bands")).alias("x")), "blocks")
+    both = blocks.join(blocks.select("band", F.col("block").alias("other"), F.col("x").alias("y")), "band").where("block <= other")
+
+    def run(batches):
+        for b in batches:
+            for band, same, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                (ra, ca, na, sa, ba), (rb, cb, nb, sb, bb) = (_arrays(v.values) for v in (x, y))
+                near = (np.bitwise_count(sa[:, None] ^ sb[None]).sum(2, dtype=np.int64) <= limit) & (ca[:, None] != cb[None])
+                near &= 100 * np.minimum(na[:, None], nb[None]) >= percent * np.maximum(na[:, None], nb[None])
+                if same:
+                    near &= ra[:, None] < rb[None]
+                i, j = np.nonzero(near)
+                alike = ba[i] == bb[j]
+                first = bb[j, alike.argmax(1)] == band
+                i, j = i[first], j[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[i], rb[j])), pa.array(np.maximum(ra[i], rb[j]))], names=["a", "b"])
+
+    return both.select("band", F.col("block") == F.col("other"), "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _arrays(rows: pa.StructArray) -> list[np.ndarray]:
+    rep, component, n, sketch, bands = rows.flatten()
+    flat = [x.to_numpy(zero_copy_only=False) for x in (rep, component, n)]
+    return [*flat, *(x.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for x in (sketch, bands))]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links of 100 * intersection >= percent * union), kept."""
@@ -174,12 +210,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     involved = members.select("rep").distinct()
     drop_stored(shared)
 
-    sketch = stored(linkable.join(involved, linkable["doc_id"] == involved["rep"]).groupBy("rep").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n")), "sketches")
+    sketch = stored(linkable.join(involved, linkable["doc_id"] == involved["rep"]).groupBy("rep").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sketches")
     sets = stored(_sets(docs.join(involved.hint("shuffle_hash"), docs["doc_id"] == involved["rep"]).select("rep", "text"), size).dropDuplicates(["rep"]), "sets")
 
     # Documents with one id but several texts are one node: link their classes.
     same = linkable.join(classes, key).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = tried = None
+    links = None
     group = members.select("rep").distinct().select("rep", F.col("rep").alias("component"))
     for turn in range(PIVOT_TURNS + 1):
         placed = members.join(group, "rep")
@@ -194,19 +230,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             else:
                 pairs = pairs.select("rep", F.col("p.rep").alias("pivot"))
         else:
-            other = placed.select("band", F.col("rep").alias("pivot"), F.col("component").alias("theirs"))
-            open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-            pairs = placed.join(open_, "band", "left_semi").join(other, "band").where("rep < pivot AND component <> theirs")
-        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = _near_pairs(placed, sketch, percent)
+        if turn < PIVOT_TURNS:
+            pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = stored(pairs, "pairs")
         found = stored(_confirmed(pairs, sketch, sets, percent), "found")
         links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
-        if not pairs.limit(1).count() and turn < PIVOT_TURNS:
-            continue
-        if turn == 0 or found.limit(1).count():
+        if turn < PIVOT_TURNS:
             parts = components(links)
             group = members.select("rep").distinct().join(parts, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
             group = stored(group, "groups")
