@@ -3,9 +3,12 @@
 Words are runs without white space, lower-cased, without punctuation (runs of
 punctuation alone don't count).  A window has as many words as an item.
 
-1. A window without any of the items' 5-word shingles has similarity 0, so the
-   shingles of whole texts are looked up among the items' shingles; each hit
-   names the window in which that item would stand.
+1. The shingles of whole texts are looked up among the items' shingles.  A
+   window of similarity `threshold` or more shares at least
+   threshold / (1 + threshold) of both sides' shingles with its item, so it has
+   that many hits of that item among its positions.  Of all windows of a text
+   just those with so many hits, wherever in the item they stand, are wanted;
+   no other window can reach the threshold.
 2. Those windows get a 64-bit SimHash of their words.  Fingerprints are cut into
    four 16-bit blocks, and the items' blocks are indexed with up to FLIPS bits
    flipped: two fingerprints within RADIUS = 4 * (FLIPS + 1) - 1 bits have a
@@ -22,8 +25,8 @@ shuffled while the items' tables (whose sizes are known, being stored) are small
 enough for Spark's broadcast threshold; beyond it Spark shuffles both.  The
 texts of hit documents come back by the row's key; hits are a small part.
 
-Null, empty and too short texts have no windows; items without words match
-nothing, items under five words are one shingle; repeated rows give one result;
+Null and empty texts have no windows; a text shorter than an item is one window;
+items without words match nothing, items under five words are one shingle; repeated rows give one result;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -68,32 +71,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """row_key_a__, row_key_b__, doc_id, item_id, start, n_words, similarity: of each
     document and item its most similar window (the first of equal ones)."""
     prepare(docs.sparkSession)
-    items = stored(items_table(benchmark), "items")
-    places = stored(items.select("size", "n", F.posexplode("shingles").alias("at", "shingle")).distinct(), "item-shingles")
+    # Rows of one item_id with other texts are items of their own.
+    items = stored(items_table(benchmark).withColumn("item_key", F.xxhash64("item_id", "shingles")).dropDuplicates(["item_key"]), "items")
+    places = stored(items.select("size", "n", "item_key", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")).distinct(), "item-shingles")
     texts = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).where("text IS NOT NULL")
     split = texts.select("row_key_a__", "row_key_b__", F.expr(WORDS).alias("words"))
+    row = ["row_key_a__", "row_key_b__"]
     hits = None
     for (size,) in items.select("size").distinct().collect():  # 1 to 5, as a rule 5 alone
-        own = split.select("row_key_a__", "row_key_b__", F.size("words").alias("length"), F.posexplode(F.expr(_shingles("words", str(size)))).alias("pos", "shingle"))
-        found = own.join(places.where(F.col("size") == size).select("shingle", "at", "n"), "shingle").select("row_key_a__", "row_key_b__", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("length") - F.col("n"))).alias("start"), F.lit(size).alias("size"), "n")
+        own = split.select(*row, F.size("words").alias("length"), F.posexplode(F.expr(_shingles("words", str(size)))).alias("pos", "shingle"))
+        found = own.join(places.where(F.col("size") == size).select("shingle", "item_key", "n", "m"), "shingle").select(*row, "length", "pos", "item_key", F.lit(size).alias("size"), "n", "m")
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = split.select("row_key_a__", "row_key_b__", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit(0).alias("n")).limit(0)
-    wanted = stored(hits.distinct().groupBy("row_key_a__", "row_key_b__").agg(F.collect_list(F.struct("start", "size", "n")).alias("wanted")), "windows-wanted")
-    rows = texts.join(wanted, ["row_key_a__", "row_key_b__"]).select("row_key_a__", "row_key_b__", "doc_id", F.expr(WORDS).alias("words"), "wanted").dropDuplicates(["row_key_a__", "row_key_b__"])
-    windows = rows.select("row_key_a__", "row_key_b__", "doc_id", F.explode(F.expr("transform(wanted, x -> struct(x.start AS start, x.size AS size, slice(words, x.start + 1, x.n) AS words))")).alias("w")).select("row_key_a__", "row_key_b__", "doc_id", "w.*")
-    windows = stored(windows.select("row_key_a__", "row_key_b__", "doc_id", "start", F.size("words").alias("n_words"), F.expr(_shingles("words", "size")).alias("theirs"), F.expr(_simhash("words")).alias("print")), "windows")
+        hits = split.select(*row, *[F.lit(0).alias(c) for c in ("length", "pos")], F.lit(0).cast("long").alias("item_key"), *[F.lit(0).alias(c) for c in ("size", "n", "m")]).limit(0)
+    hits = hits.groupBy(*row, "length", "item_key", "size", "n", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # Shingles of a window, and how many of them the item must have.
+    hits = hits.withColumn("own", F.least("n", "length") - F.col("size") + 1)
+    hits = hits.withColumn("least", F.greatest(F.lit(1), F.ceil(F.lit(threshold) * (F.col("own") + F.col("m")) / (1 + F.lit(threshold)) - 1e-9).cast("int"))).where("size(at) >= least")
+    # A window has so many hits if it holds one hit and the (least - 1)th behind it.
+    starts = """array_distinct(flatten(transform(sequence(0, size(at) - least), i -> IF(at[i + least - 1] - own + 1 <= at[i] AND at[i + least - 1] - own + 1 <= length - least(n, length),
+        sequence(greatest(0, at[i + least - 1] - own + 1), least(at[i], length - least(n, length))), CAST(array() AS array<int>)))))"""
+    counted = stored(hits.select(*row, "item_key", "size", "n", F.explode(F.expr(starts)).alias("start")), "windows-counted")
+    wanted = stored(counted.groupBy(*row).agg(F.collect_set(F.struct("start", "size", "n")).alias("wanted")), "windows-wanted")
+    rows = texts.join(wanted, row).select(*row, "doc_id", F.expr(WORDS).alias("words"), "wanted").dropDuplicates(row)
+    windows = rows.select(*row, "doc_id", F.explode(F.expr("transform(wanted, x -> struct(x.start AS start, x.size AS size, x.n AS n, slice(words, x.start + 1, x.n) AS words))")).alias("w")).select(*row, "doc_id", "w.*")
+    windows = stored(windows.select(*row, "doc_id", "start", "n", F.size("words").alias("n_words"), F.expr(_shingles("words", "size")).alias("theirs"), F.expr(_simhash("words")).alias("print")), "windows")
 
     def blocks(column: str) -> str:
         return f"transform(sequence(0, 3), k -> struct(k AS block, shiftright({column}, 16 * k) & 65535L AS value))"
 
-    index = items.select("item_id", "shingles", "fingerprint", F.explode(F.expr(blocks("fingerprint"))).alias("b"))
+    index = items.select("item_key", "fingerprint", F.explode(F.expr(blocks("fingerprint"))).alias("b"))
     index = index.withColumn("mask", F.explode(F.expr(f"filter(sequence(0L, 65535L), m -> bit_count(m) <= {FLIPS})")))
-    index = stored(index.select(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_id", "fingerprint"), "index")
-    probes = windows.select("row_key_a__", "row_key_b__", "start", "n_words", "print", F.explode(F.expr(blocks("print"))).alias("b")).select("row_key_a__", "row_key_b__", "start", "n_words", "print", "b.*")
-    near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select("row_key_a__", "row_key_b__", "start", "n_words", "item_id").distinct()
-    pairs = near.join(windows, ["row_key_a__", "row_key_b__", "start", "n_words"]).join(items.select("item_id", "shingles"), "item_id")
+    index = stored(index.select(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_key", "fingerprint"), "index")
+    window = [*row, "start", "n"]
+    probes = windows.select(*window, "print", F.explode(F.expr(blocks("print"))).alias("b")).select(*window, "print", "b.*")
+    near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select(*window, "item_key")
+    pairs = near.distinct().join(windows.drop("print"), window).join(items.select("item_key", "item_id", "shingles"), "item_key")
     both = F.expr("aggregate(array_distinct(theirs), 0, (s, h) -> s + least(size(filter(theirs, x -> x = h)), size(filter(shingles, x -> x = h))))")
     scored = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.lit(1), F.size("theirs") + F.size("shingles") - F.col("both")))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("row_key_a__", "row_key_b__", "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))
-    return best.select("row_key_a__", "row_key_b__", "w.doc_id", "item_id", "w.start", "w.n_words", "w.similarity")
+    best = scored.where(F.col("similarity") >= threshold).groupBy(*row, "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))
+    return best.select(*row, "w.doc_id", "item_id", "w.start", "w.n_words", "w.similarity")

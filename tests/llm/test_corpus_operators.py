@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -130,6 +131,37 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.where("item_id < 0")).count() == 0
 
 
+def _best_windows(spark, docs, items):
+    """What the operator finds, and brute force over all windows: (similarity,
+    start) by document and item."""
+    def bag(w):
+        return Counter(zip(*[w[j:] for j in range(5)]))
+
+    want = {}
+    for d, w in docs.items():
+        for k, t in items.items():
+            mine, n = bag(t), min(len(t), len(w))
+            for at in range(len(w) - n + 1):
+                theirs = bag(w[at : at + n])
+                both = (mine & theirs).total()
+                score = both / (mine.total() + theirs.total() - both)
+                if score >= 0.8 and score > want.get((d, k), (0, 0))[0]:
+                    want[d, k] = (score, at)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in decontamination.contaminated(df, bench).collect()}
+    return got, want
+
+
+def test_decontamination_swapped_parts(spark):
+    rng = random.Random(19)
+    items = {0: _words(rng, 60), 1: _words(rng, 60), 2: _words(rng, 50), 3: ["a0", "b0"] * 10}
+    docs = {0: _words(rng, 20) + items[0][30:] + items[0][:30] + _words(rng, 20), 1: items[1][20:] + items[1][:20], 2: items[2][:45], 3: ["a0", "b0"] * 25}
+    got, want = _best_windows(spark, docs, items)
+    assert want[0, 0] == (52 / 60, 20) and set(want) == {(k, k) for k in range(4)}
+    assert got == want
+
+
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
