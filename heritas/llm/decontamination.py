@@ -13,12 +13,12 @@ punctuation alone don't count).  A window has as many words as an item.
    four 16-bit blocks, and the items' blocks are indexed with up to FLIPS bits
    flipped: two fingerprints within RADIUS = 4 * (FLIPS + 1) - 1 bits have a
    block within FLIPS bits (pigeonhole), so the index misses none of them.
-3. Pairs within RADIUS are verified by the exact weighted similarity of their
-   shingles (weight: how often a shingle occurs; sum of minima over sum of
-   maxima) of at least `threshold`.
+3. Pairs within RADIUS, and the pairs of step 1 that aren't (a fingerprint is
+   random, so no radius holds them all), are verified by the exact weighted
+   similarity of their shingles (weight: how often a shingle occurs; sum of
+   minima over sum of maxima) of at least `threshold`.
 
-At threshold 0.8 under a tenth of a window's words differ, so fingerprints
-differ in about 7 of 64 bits; RADIUS is 15.
+So the result is that of comparing all windows with all items.
 
 Everything is DataFrame functions.  The documents' side of both lookups isn't
 shuffled while the items' tables (whose sizes are known, being stored) are small
@@ -106,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     window = [*row, "start", "n"]
     probes = windows.select(*window, "print", F.explode(F.expr(blocks("print"))).alias("b")).select(*window, "print", "b.*")
     near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select(*window, "item_key")
-    pairs = near.distinct().join(windows.drop("print"), window).join(items.select("item_key", "item_id", "shingles"), "item_key")
+    pairs = near.union(counted.select(*window, "item_key")).distinct().join(windows.drop("print"), window).join(items.select("item_key", "item_id", "shingles"), "item_key")
     both = F.expr("aggregate(array_distinct(theirs), 0, (s, h) -> s + least(size(filter(theirs, x -> x = h)), size(filter(shingles, x -> x = h))))")
     scored = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.lit(1), F.size("theirs") + F.size("shingles") - F.col("both")))
     best = scored.where(F.col("similarity") >= threshold).groupBy(*row, "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))

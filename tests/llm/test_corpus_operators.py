@@ -162,6 +162,18 @@ def test_decontamination_swapped_parts(spark):
     assert got == want
 
 
+def test_decontamination_changed_ends(spark):
+    """Words changed at one end flip more bits than words inside."""
+    rng = random.Random(23)
+    items = {k: _words(rng, 50) for k in range(20)}
+    docs = {}
+    for i in range(300):
+        t, new = items[i % 20], _words(rng, 5)
+        docs[i] = _words(rng, 3) + (t[:-5] + new if i % 3 else new + t[5:]) + _words(rng, 3)
+    got, want = _best_windows(spark, docs, items)
+    assert len(want) == 300 and got == want
+
+
 KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
