@@ -19,14 +19,16 @@ kept suffixes in every document.
    marks that passage.  A range sort splits the suffixes of a very common
    passage over tasks; neighbours across a border meet in a table of each
    task's first and last document's suffixes.
-4. Marked passages of a document that overlap or touch are one.
+4. The neighbour in the first order has the longest match to the right that any
+   suffix has, in the second the longest to the left.  Where both are parts of
+   marked passages, no other suffix of the group adds words.  Where one isn't
+   and the two add up to LENGTH words or more, a suffix between them may match
+   LENGTH words: the group is open, and the LENGTH-word windows around all its
+   suffixes are counted; those of two documents or more are marked.
+5. Marked passages of a document that overlap or touch are one.
 
-The neighbour in the first order has the longest match to the right that any
-suffix has, in the second the longest to the left; so passages of
-2 * LENGTH - GRAM words or more are always marked whole, and those between
-LENGTH and that length unless two other texts share a longer one-sided part of
-them, but less than LENGTH words.  Passages that repeat within one document
-alone aren't marked.
+So the marked words are those of all LENGTH-word windows that two documents
+have.  Passages that repeat within one document alone aren't marked.
 
 Null texts and texts under LENGTH words have no passages; rows that repeat a
 doc_id are one document; rows without one aren't looked at; exact copies are
@@ -204,9 +206,11 @@ class _Rows:
         new = (self.gram[1:] != self.gram[:-1]) | (self.doc[1:] != self.doc[:-1])
         return np.flatnonzero(np.append(True, new))
 
-    def marks(self) -> list[np.ndarray]:
+    def marks(self, by_right: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """(doc, start, stop) of matches with the next suffixes, to both sides,
-        that another document has; both places of each match."""
+        that another document has; both places of each match.  And how many
+        extensions to the sorted side agree with a neighbour's (-1: none has the
+        gram), and whether such a match is marked."""
         n, begin = len(self.gram), self.runs()
         size = np.diff(np.append(begin, n))
         here, before, behind = np.arange(n), np.repeat(begin - 1, size), np.repeat(begin + size, size)
@@ -218,8 +222,11 @@ class _Rows:
         r = _alike(self.right[a], self.right[b], np.minimum(self.rr[a], self.rr[b])) + GRAM
         l = _alike(self.left[a], self.left[b], np.minimum(self.rl[a], self.rl[b]))
         good = l + r >= LENGTH
+        side, reach, marked = r - GRAM if by_right else l, np.full(n, -1), np.zeros(n, bool)
+        np.maximum.at(reach, a, side)
+        marked[a[good & (side == reach[a])]] = True
         a, b, l, r = a[good], b[good], l[good], r[good]
-        return [np.stack([self.doc[x], self.pos[x] - l, self.pos[x] + r]) for x in (a, b)]
+        return [np.stack([self.doc[x], self.pos[x] - l, self.pos[x] + r]) for x in (a, b)], reach, marked
 
 
 def _alike(x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -229,15 +236,17 @@ def _alike(x: np.ndarray, y: np.ndarray, room: np.ndarray) -> np.ndarray:
     return np.minimum(first, room)
 
 
-_MARKS = "edge int, doc_id long, start int, stop int, " + _SUFFIX.replace("doc_id long, ", "")
+_MARKS = "edge int, reach int, doc_id long, start int, stop int, " + _SUFFIX.replace("doc_id long, ", "")
 
 
 def _neighbours(suffixes: DataFrame, order: list[str]) -> DataFrame:
-    """doc_id, start, stop of neighbours' matches in this order."""
+    """doc_id, start, stop of neighbours' matches in this order; and the suffixes
+    whose longest match isn't marked, with its extensions (reach)."""
+    by_right = order[1] == "near"
 
     def compare(batches, edges: bool):
         names = [x.split()[0] for x in _MARKS.split(", ")]
-        kinds = {"edge": pa.int32(), "doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "gram": pa.int64(), "near": pa.binary(), "far": pa.binary(), "pos": pa.int32(), "room_right": pa.int32(), "room_left": pa.int32()}
+        kinds = {"edge": pa.int32(), "reach": pa.int32(), "doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "gram": pa.int64(), "near": pa.binary(), "far": pa.binary(), "pos": pa.int32(), "room_right": pa.int32(), "room_left": pa.int32()}
 
         def marked(found):
             n = found.shape[1]
@@ -249,6 +258,11 @@ def _neighbours(suffixes: DataFrame, order: list[str]) -> DataFrame:
             have = {c: rows.column(c) for c in rows.schema.names}
             return pa.RecordBatch.from_arrays([pa.array([place] * n, pa.int32()) if c == "edge" else have[c] if c in have else pa.nulls(n, kinds[c]) for c in names], names=names)
 
+        def short(raw, reach):
+            have = {c: raw.column(c) for c in raw.schema.names} | {"reach": pa.array(reach, pa.int32())}
+            return pa.RecordBatch.from_arrays([have[c] if c in have else pa.nulls(raw.num_rows, kinds[c]) for c in names], names=names)
+
+        judged = 0
         held, part, first = None, TaskContext.get().partitionId(), True
         for b in batches:
             if not b.num_rows:
@@ -258,12 +272,20 @@ def _neighbours(suffixes: DataFrame, order: list[str]) -> DataFrame:
             begin = rows.runs()
             if edges and first and len(begin) > 1:
                 yield edge(both.slice(0, int(begin[1])), 2 * part)
-                first = False
-            for found in rows.marks():
+                first, judged = False, int(begin[1])
+            both_places, reach, whole = rows.marks(by_right)
+            for found in both_places:
                 if found.shape[1]:
                     yield marked(found)
+            # Suffixes whose neighbours are both here: neither those of the last
+            # run, nor those judged with the batch before, nor the task's edges.
+            if edges and not first:
+                at = judged + np.flatnonzero((reach >= 0)[judged : begin[-1]] & ~whole[judged : begin[-1]])
+                if len(at):
+                    yield short(both.take(pa.array(at)), reach[at])
             # The last run may go on: keep it, and the suffix before it.
             held = both.slice(max(0, int(begin[-1]) - 1))
+            judged = min(1, int(begin[-1]))
         if edges and held is not None:
             yield edge(held.slice(int(_Rows(held).runs()[-1])), 2 * part + 1)
 
@@ -274,7 +296,27 @@ def _neighbours(suffixes: DataFrame, order: list[str]) -> DataFrame:
     # The suffixes of the first and the last document of every task, in order.
     border = found.where("edge IS NOT NULL").coalesce(1).sortWithinPartitions("edge", *order).select("gram", "near", "far", "doc_id", "pos", "room_right", "room_left")
     across = border.mapInArrow(_merged(lambda x: compare(x, False)), _MARKS)
-    return found.where("edge IS NULL").select("doc_id", "start", "stop").union(across.select("doc_id", "start", "stop"))
+    marks = found.where("edge IS NULL AND reach IS NULL").select("doc_id", "start", "stop").union(across.select("doc_id", "start", "stop"))
+    # At an edge the longest match isn't known: at most all that the text has.
+    most = F.least(F.lit(REACH), "room_right" if by_right else "room_left")
+    shorts = found.where("edge IS NOT NULL OR reach IS NOT NULL").select("gram", "near", "far", "doc_id", "pos", "room_right", "room_left", F.coalesce("reach", most).alias("reach"))
+    return marks, shorts
+
+
+def _open_windows(suffixes: DataFrame, by_right: DataFrame, by_left: DataFrame) -> DataFrame:
+    """doc_id, start, stop of repeated LENGTH-word windows in open groups."""
+    key = ["gram", "near", "far", "doc_id", "pos", "room_right", "room_left"]
+    none = F.lit(None).cast("int")
+    both = by_right.withColumn("left", none).withColumnRenamed("reach", "right").select(*key, "right", "left").union(by_left.withColumn("right", none).withColumnRenamed("reach", "left").select(*key, "right", "left"))
+    # A side without a row is marked as far as it matches: at most all it has.
+    sides = both.groupBy(*key).agg(F.coalesce(F.max("right"), F.least(F.lit(REACH), "room_right")).alias("right"), F.coalesce(F.max("left"), F.least(F.lit(REACH), "room_left")).alias("left"))
+    grams = stored(sides.where(F.col("right") + F.col("left") >= REACH).select("gram").distinct(), "open-grams")
+    around = suffixes.join(grams, "gram", "left_semi").withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(REACH)))).where(f"l <= room_left AND {REACH} - l <= room_right")
+    # The hashes that _alike compares: all extensions within the window.
+    window = around.select("doc_id", (F.col("pos") - F.col("l")).alias("start"), "gram", "l", F.expr("substring(far, 1, 2 * l)").alias("far"), F.expr(f"substring(near, 1, 2 * ({REACH} - l))").alias("near"))
+    same = window.groupBy("gram", "l", "far", "near")
+    repeated = same.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("gram", "l", "far", "near")
+    return window.join(repeated, ["gram", "l", "far", "near"], "left_semi").select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def _united(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,9 +333,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     table = repeated_map(docs)
     suffixes = stored(_suffixes(docs, table), "suffixes")
-    first = _neighbours(suffixes, ["gram", "near", "far", "doc_id", "pos"])
-    second = _neighbours(suffixes, ["gram", "far", "near", "doc_id", "pos"])
-    spans = first.union(second).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    first, by_right = _neighbours(suffixes, ["gram", "near", "far", "doc_id", "pos"])
+    second, by_left = _neighbours(suffixes, ["gram", "far", "near", "doc_id", "pos"])
+    between = _open_windows(suffixes, by_right, by_left)
+    spans = first.union(second).union(between).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def unite(batches):
         for b in batches:

@@ -131,6 +131,35 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_repeated_passages_from_50_words(spark):
+    """Passages of 50 to 66 words of which other texts share a longer right or
+    left part that is shorter than 50 words."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for k in range(60):
+        n = 50 + k % 17
+        p = _words(rng, n)
+        cut = rng.randint(1, min(16, n - 34))
+        texts = [_words(rng, 20) + p + _words(rng, 20) for _ in range(2)]
+        # One of the texts goes on as the other two do, on one side each.
+        texts += [_words(rng, 20) + (p + texts[0][20 + n :])[n - 49 + cut : n + cut] + _words(rng, 20), _words(rng, 20) + (texts[0][:20] + p)[20 - cut : 69 - cut] + _words(rng, 20)]
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    where: dict = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            where.setdefault(tuple(w[i : i + 50]), []).append((d, i))
+    for places in where.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                want.setdefault(d, set()).update(range(i, i + 50))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got: dict = {}
+    for r in suffix_dedup.repeated_passages(df).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["stop"]))
+    assert len(want) >= 120 and got == want
+
+
 def _best_windows(spark, docs, items):
     """What the operator finds, and brute force over all windows: (similarity,
     start) by document and item."""
