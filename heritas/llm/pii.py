@@ -8,7 +8,9 @@ kind with their checks.  They seed the extraction of further identifiers:
 * Spark scores the graph of patterns and instances in ROUNDS turns: a pattern's
   score is the confidence that its instances have, added up, over how often its
   word occurs in the whole corpus; an instance's confidence is the noisy-or of
-  its patterns' scores (seeds keep 1);
+  its patterns' scores (seeds keep 1).  Each round admits the patterns that the
+  last one's instances reach, so contexts up to ROUNDS patterns from a base match
+  are found;
 * tokens next to patterns of at least MIN_SCORE with MIN_SUPPORT different
   instances are reported as kind `id`.
 
@@ -107,9 +109,9 @@ def discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     contexts = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))).alias("c")
     met = one.select("kind", "value", contexts).select("kind", "value", "c.*").where("word <> ''")
     edges = stored(met.groupBy("side", "word", "value").agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") < 4, 1).otherwise(0)).alias("seed")), "edges")
-    seeded = edges.groupBy("side", "word").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= 1)
-    # Patterns of a few instances can't reach MIN_SUPPORT; see the rounds below.
-    support = edges.join(seeded.select("side", "word"), ["side", "word"], "left_semi").groupBy("side", "word").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT)
+    # Patterns of a few instances can't reach MIN_SUPPORT.  All others stay, as a
+    # round can admit patterns that no base match touches.
+    support = edges.groupBy("side", "word").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT)
     support = stored(support, "patterns")
     words = docs.select(F.explode(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+")).alias("word"))
     known = support.select("word").distinct()
@@ -117,7 +119,8 @@ def discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     patterns = stored(support.join(often, "word"), "patterns")
     graph = stored(edges.join(patterns.select("side", "word", "often"), ["side", "word"]), "graph")
     drop_stored(edges, support)
-    trust = graph.groupBy("value").agg(F.max("seed").cast("double").alias("trust"))
+    # Values without confidence, which add nothing, have no row.
+    trust = graph.where("seed = 1").select("value").distinct().withColumn("trust", F.lit(1.0))
     scored = None
     for _ in range(ROUNDS):
         scored = graph.join(trust, "value").groupBy("side", "word").agg(F.least(F.lit(0.999), F.sum(F.col("n") * F.col("trust")) / F.max("often")).alias("score"))

@@ -245,6 +245,22 @@ def test_discovered_identifiers(spark):
     assert m[50] == "some contact: <id> thanks a lot" and m[90] == rows[-1][1] and "<email>" in m[0] and "@" not in m[0]
 
 
+def test_identifiers_two_patterns_away(spark):
+    rng = random.Random(12)
+
+    def tail():
+        return " ".join(f"{c}{''.join(rng.choice('klmnopqr') for _ in range(12))}" for c in "xyz")
+
+    rows = [(i, f"{tail()} contact: user{i}@mail.example.org {tail()}") for i in range(30)]
+    rows += [(50 + i, f"{tail()} contact: AB-{i}00 {tail()}") for i in range(8)]
+    rows += [(60 + i, f"{tail()} member: AB-{i}00 {tail()}") for i in range(8)]
+    rows += [(80, f"{tail()} member: ZX-98765 {tail()}"), (81, f"{tail()} number: ZX-98764 {tail()}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = {r["doc_id"]: r["text"] for r in pii.masked(df).collect()}
+    assert all("contact: <id>" in m[50 + i] and "member: <id>" in m[60 + i] for i in range(8))
+    assert "member: <id>" in m[80] and m[81] == rows[-1][1]
+
+
 def test_url_cascade(spark):
     rng = random.Random(8)
     keys = [f"host{i}.example" for i in range(3000)]
