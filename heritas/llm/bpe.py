@@ -7,7 +7,7 @@ a heap of candidate merges over a linked list of bytes, O(n log n) for a piece
 of n bytes, lowest rank first and leftmost among equals.
 
 Documents are independent, so the plan is a single narrow stage.  A worker
-keeps the ids of chunks it has seen (bounded, emptied when full).
+keeps the ids of short chunks it has seen (CACHE_BYTES, emptied when full).
 
 Null texts count as empty; empty texts have no ids; copies and repeated
 doc_ids stay separate rows; an empty table gives an empty result; other
@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import prepare, space_chunks
+from heritas.llm.common import batches_by_size, prepare, space_chunks
 
-#: Entries of a worker's caches; each is emptied when full (memory bound).
-CACHE_ENTRIES = 1_000_000
+#: Bytes (estimated) that a worker's cache may hold, and what an entry takes
+#: besides its characters and ids; longer chunks aren't kept.
+CACHE_BYTES, ENTRY_BYTES, CACHED_CHUNK = 128 << 20, 200, 64
+#: Characters of text that are encoded at once (memory bound).
+AT_ONCE = 4 << 20
 #: The pattern for which letters and a mark behind a space are two pre-tokens.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MARKS = frozenset(",.;:!?")
@@ -154,6 +157,7 @@ class Codec:
         self.flat = np.frombuffer(b"".join(entry), np.uint8)
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.held = 0
 
     def piece(self, text: str) -> bytes:
         """Ids of a pre-token: tier 1, then tier 2."""
@@ -179,21 +183,32 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian uint32, a byte string a text."""
-        first, rest = self.first, self.rest
-        if len(rest) > CACHE_ENTRIES:
-            rest.clear()
-        if len(first) > CACHE_ENTRIES // 8:
-            first.clear()
+        if self.held > CACHE_BYTES:
+            self.first.clear()
+            self.rest.clear()
+            self.held = 0
         cut = [space_chunks(x) for x in texts]
         words: set[str] = set()
         for x in cut:
             words.update(x[1:])
-        for x in words.difference(rest):
-            rest[x] = self._chunk(x, " ")
-        for x in {x[0] for x in cut}.difference(first):
-            first[x] = self._chunk(x, "")
+        first, rest = self.first, self.rest
+        passing = [*self._learn(first, {x[0] for x in cut}, ""), *self._learn(rest, words, " ")]
         get = rest.__getitem__
-        return [first[x[0]] + b"".join(map(get, x[1:])) for x in cut]
+        out = [first[x[0]] + b"".join(map(get, x[1:])) for x in cut]
+        for known, x in passing:
+            del known[x]
+        return out
+
+    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> list[tuple[dict[str, bytes], str]]:
+        """Add the chunks' ids; returns the long ones, which aren't to stay."""
+        passing = []
+        for x in chunks.difference(known):
+            ids = known[x] = self._chunk(x, lead)
+            if len(x) <= CACHED_CHUNK:
+                self.held += ENTRY_BYTES + len(x) + len(ids)
+            else:
+                passing.append((known, x))
+        return passing
 
     def decode(self, many: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids: one gather from the vocabulary's bytes."""
@@ -221,11 +236,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, content: bool = True
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
-            ids = c.encode([t or "" for t in b.column(1).to_pylist()])
+        for doc, texts in batches_by_size(batches, AT_ONCE):
+            ids = c.encode(texts)
             back = c.decode(ids)
             columns = {
-                "doc_id": b.column(0),
+                "doc_id": doc,
                 "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),

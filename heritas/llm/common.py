@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import getpass
 import re
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,19 @@ def prepare(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for plans that run inside: rows that are
+    large themselves."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of the shared folder and read it: cuts the lineage,
     survives lost executors, and later passes read it instead of recomputing."""
@@ -44,7 +60,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_stored(*tables: DataFrame) -> None:
+def drop_stored(*tables: DataFrame | None) -> None:
     """Remove tables of stored() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_heritas_path", None)
@@ -68,6 +84,20 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def batches_by_size(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Of batches of ids and texts: ids and texts (null: empty) of at most so
+    many characters together, or one text."""
+    for b in batches:
+        texts, at = [t or "" for t in b.column(1).to_pylist()], 0
+        while at < len(texts):
+            stop, held = at + 1, len(texts[at])
+            while stop < len(texts) and held + len(texts[stop]) <= most:
+                held += len(texts[stop])
+                stop += 1
+            yield b.column(0).slice(at, stop - at), texts[at:stop]
+            at = stop
+
+
 _TWO_SPACES = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<!\s) (?!\s)")
 

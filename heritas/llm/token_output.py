@@ -19,118 +19,198 @@ results have at most one row an id and task, one range shuffle of packed ids,
 then narrow passes.  Only the frequency table (bounded by the vocabulary) and
 nothing else comes to the driver.
 
-Null or empty texts hold the end id alone; repeated or null doc_ids stay
-separate rows, in order of their ids' bytes; an empty table gives an empty
-result; further columns of the input are ignored.
+Strings of the tokenizer's added tokens in a text become their ids, as the
+library has it by itself.  Null or empty texts hold the end id alone; repeated
+or null doc_ids stay separate rows, in order of length and then a hash of their
+ids; an empty table gives an empty result; further columns of the input are
+ignored; a long text is worked on in pieces of WORDS_AT_ONCE chunks.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heritas.llm.common import drop_stored, prepare, space_chunks, stored
+from heritas.llm.common import batches_by_size, drop_stored, prepare, space_chunks, stored
 
 BLOCK_TOKENS = 1 << 20
-#: Entries of a worker's chunk cache; it is emptied when full (memory bound).
-CACHE_ENTRIES = 1_200_000
+#: Bytes (estimated) that a worker's chunk cache may hold, and what an entry
+#: takes besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 150
+#: Longer chunks are encoded anew each time, so that none fills the cache.
+CACHED_CHUNK = 64
+#: Characters of text, and chunks, that are worked on at once (memory bound).
+AT_ONCE, WORDS_AT_ONCE = 4 << 20, 1 << 19
 END_ID = 0
 
 _TOKENIZER: dict = {}
-_MARKS = frozenset(",.;:!?")
-#: A line break at an end, or beside white space: part of a longer pre-token.
-_BESIDE_BREAK = re.compile(r"^\n|\n$|\s\n|\n\s")
+#: White space of the pre-tokens' pattern, for RE2.
+_WS = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+#: Texts that aren't cut by Arrow: two white-space characters side by side.
+_ODD = rf"[{_WS}][{_WS}]|\x00"
+#: A letter or digit before a mark: there one pre-token ends, another begins.
+_MARK = r"([\p{L}\p{N}])([^\s\x00\p{L}\p{N}])"
+
+
+class ChunkTable:
+    """Chunks and their ids: a slot a chunk, all ids in one growing array."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+        self.n = self.n_ids = self.chars = 0
+
+    def add(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.n + len(chunks), self.n_ids + len(ids)
+        for name in ("start", "size", "used"):
+            if n > len(getattr(self, name)):
+                setattr(self, name, np.resize(getattr(self, name), 2 * n))
+        if m > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * m)
+        self.start[self.n : n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[self.n : n] = sizes
+        self.used[self.n : n] = 0
+        self.ids[self.n_ids : m] = ids
+        self.slot.update(zip(chunks, range(self.n, n)))
+        self.n, self.n_ids, self.chars = n, m, self.chars + sum(map(len, chunks))
+
+    def bytes(self) -> int:
+        return self.n * ENTRY_BYTES + self.chars + 4 * self.n_ids
+
+    def drop(self, n: int, n_ids: int, chunks: list[str]) -> None:
+        """Forget the last chunks, down to n chunks and n_ids ids."""
+        for x in chunks:
+            del self.slot[x]
+        self.n, self.n_ids, self.chars = n, n_ids, self.chars - sum(map(len, chunks))
+
+    def shrink(self) -> None:
+        """Keep the chunks met more than once since the last time; if they are
+        most of the table, none."""
+        keep = [(x, i) for x, i in self.slot.items() if self.used[i] > 1]
+        old_start, old_size, old_ids, n = self.start, self.size, self.ids, self.n
+        self.clear()
+        if keep and 2 * len(keep) <= n:
+            at = np.array([i for _, i in keep])
+            self.add([x for x, _ in keep], old_ids[_ranges(old_start[at], old_size[at])], old_size[at])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 class ChunkEncoder:
-    """Texts to packed uint32 ids with a tokenizers file; each distinct chunk
-    between spaces goes through the library once while it stays cached."""
+    """Texts to ids with a tokenizers file.  Arrow cuts texts where one pre-token
+    ends and another begins (before a space, around a line break, between a
+    letter or digit and a mark) and numbers a batch's distinct chunks; each goes
+    through the library once while it stays in the table."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.line = self.tokenizer.token_to_id("\u010a")
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        """Encode chunks without a line break: one text of many lines a call.
-        A line break before a space or letter is a pre-token of its own, so
-        its id parts the chunks' ids."""
-        for at in range(0, len(new), 20_000):
-            own = new[at : at + 20_000]
-            text = "".join([f"{lead}{x}\n" for x in own])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            end = np.flatnonzero(ids == self.line)
-            if len(end) != len(own):
-                raise ValueError("chunks and line breaks don't match")
-            raw = ids.tobytes()
-            for x, a, b in zip(own, [0, *((end[:-1] + 1) * 4).tolist()], (end * 4).tolist()):
-                known[x] = raw[a:b]
-
-    def _learn_all(self, rest: set[str], first: set[str]) -> None:
-        """Chunks of letters go to the library as they are.  Of others, a mark
-        behind letters and line breaks between marks or letters are pre-tokens
-        of their own and are cut off before, so that fewer chunks differ."""
-        odd, word_marks, lines = [], [], []
-        plain, plain_first, marks = set(), set(), set()
-        for x in rest.difference(self.rest):
-            if x.isalpha():
-                plain.add(x)
-            elif x[-1:] in _MARKS and x[:-1].isalpha():
-                word_marks.append(x)
-            elif "\n" in x and not _BESIDE_BREAK.search(x):
-                lines.append(x)
+        # Letters behind at most a space are one pre-token: they need the
+        # library's byte alphabet and model only.
+        self.model = self.tokenizer.model
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.space = self.byte_level(" ")[0][0]
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parts = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.known = ChunkTable()
+
+    def _learn(self, chunks: list[str]) -> None:
+        letters, other, ids = [], [], []
+        space, level, tokenize = self.space, self.byte_level, self.model.tokenize
+        for x in chunks:
+            word = x[1:] if x[:1] == " " else x
+            if word.isalpha():
+                letters.append(x)
+                if not word.isascii():
+                    word = level(word)[0][0]
+                ids.append([t.id for t in tokenize(space + word if x[0] == " " else word)])
             else:
-                odd.append(x)
-        plain.update([x[:-1] for x in word_marks])
-        cut = [x.split("\n") for x in lines]
-        for x in first.difference(self.first):
-            if "\n" in x:
-                odd.append("\n" + x)
-            else:
-                plain_first.add(x)
-        for x in cut:
-            plain.add(x[0])
-            plain_first.update(x[1:])
-        marks.update([x[-1] for x in word_marks])
-        self._learn(self.rest, list(plain.difference(self.rest)), " ")
-        self._learn(self.first, list((plain_first | marks).difference(self.first)), "")
-        for x in word_marks:
-            self.rest[x] = self.rest[x[:-1]] + self.first[x[-1]]
-        line = int(self.line).to_bytes(4, "little")
-        for x, parts in zip(lines, cut):
-            self.rest[x] = line.join([self.rest[parts[0]], *[self.first[p] for p in parts[1:]]])
-        whole = [" " + x if x[:1] != "\n" else x[1:] for x in odd]
-        for x, e in zip(odd, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4").tobytes()
-            if x[:1] == "\n":
-                self.first[x[1:]] = ids
-            else:
-                self.rest[x] = ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > CACHE_ENTRIES:
-            self.rest.clear()
-        if len(self.first) > CACHE_ENTRIES // 8:
-            self.first.clear()
-        cut = [space_chunks(x) for x in texts]
-        words: set[str] = set()
-        for x in cut:
-            words.update(x[1:])
-        self._learn_all(words, {x[0] for x in cut})
-        first, get = self.first, self.rest.__getitem__
-        return [first[x[0]] + b"".join(map(get, x[1:])) for x in cut]
+                other.append(x)
+        for at in range(0, len(other), 5_000):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(other[at : at + 5_000], add_special_tokens=False)]
+        self.known.add(letters + other, np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _slots(self, chunks: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Slots of distinct chunks; and those among them that aren't to stay."""
+        slot = self.known.slot
+        new = [x for x in chunks if x not in slot]
+        self._learn([x for x in new if len(x) <= CACHED_CHUNK])
+        long = [x for x in new if len(x) > CACHED_CHUNK]
+        self._learn(long)
+        return np.fromiter(map(slot.__getitem__, chunks), np.int64, len(chunks)), long
+
+    def _chunks(self, texts: list[str]) -> pa.LargeListArray:
+        array = pa.array(texts, pa.large_string())
+        odd = np.flatnonzero(pc.match_substring_regex(array, _ODD).to_numpy(zero_copy_only=False)).tolist()
+        cut = pc.replace_substring_regex(pc.replace_substring(array, "\n", "\0\n\0"), _MARK, "\\1\0\\2")
+        lists = pc.split_pattern(pc.replace_substring(cut, " ", "\0 "), "\0")
+        if not odd:
+            return lists
+        parts, done = [], 0
+        for i in odd:
+            first, *rest = space_chunks(texts[i])
+            parts += [lists.slice(done, i - done), pa.array([[first, *[" " + x for x in rest]]], lists.type)]
+            done = i + 1
+        return pa.concat_arrays([*parts, lists.slice(done)])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after another, and how many each has."""
+        known = self.known
+        if known.bytes() > CACHE_BYTES:
+            known.shrink()
+        # Added tokens in a text stand for themselves and cut it.
+        special = [i for i, t in enumerate(texts) for x in self.added if x in t]
+        if special:
+            return self._with_added(texts, set(special))
+        lists = self._chunks(texts)
+        coded = lists.flatten().dictionary_encode()
+        slots, long = self._slots(coded.dictionary.to_pylist())
+        codes, out, sizes = coded.indices.to_numpy(), [], []
+        for at in range(0, len(codes), WORDS_AT_ONCE):
+            own = slots[codes[at : at + WORDS_AT_ONCE]]
+            known.used[: known.n] += np.bincount(own, minlength=known.n)
+            sizes.append(known.size[own])
+            out.append(known.ids[_ranges(known.start[own], sizes[-1])])
+        if long:  # they were added last
+            known.drop(known.n - len(long), int(known.start[known.n - len(long)]), long)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))])
+        first = lists.offsets.to_numpy()
+        return np.concatenate([*out, np.zeros(0, np.uint32)]), np.diff(total[first - first[0]])
+
+    def _with_added(self, texts: list[str], special: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.parts.split(t) if i in special else [t] for i, t in enumerate(texts)]
+        ids, sizes = self.encode([x for p in parts for x in p[::2]])
+        stop, out, n, at = np.cumsum(sizes), [], [], 0
+        for p in parts:
+            own = []
+            for j, x in enumerate(p):
+                if j % 2:
+                    own.append(np.array([self.added[x]], np.uint32))
+                else:
+                    own.append(ids[stop[at] - sizes[at] : stop[at]])
+                    at += 1
+            out += own
+            n.append(sum(map(len, own)))
+        return np.concatenate(out), np.array(n, np.int64)
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -182,24 +262,27 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = _vocabulary(path)
     wide = vocabulary > 0xFFFF
 
+    kind, names = "<u4" if wide else "<u2", ["doc_id", "n_tokens", "ids", "counts"]
+
     def run(batches):
         enc, total = encoder(path), np.zeros(vocabulary, np.int64)
-        end = np.array([END_ID], "<u4").tobytes()
-        names = ["doc_id", "n_tokens", "ids", "counts"]
-        for b in batches:
-            raw = [x + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            flat = np.frombuffer(b"".join(raw), "<u4")
-            total += np.bincount(flat, minlength=vocabulary)
-            size = np.array([len(x) // 4 for x in raw], np.int64)
-            packed, width = flat.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
-            stop = (np.cumsum(size) * width).tolist()
-            ids = [packed[i:j] for i, j in zip([0, *stop[:-1]], stop)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        for doc, texts in batches_by_size(batches, AT_ONCE):
+            ids, size = enc.encode(texts)
+            ids = np.insert(ids, np.cumsum(size), END_ID).astype(kind)
+            size += 1
+            total += np.bincount(ids, minlength=vocabulary)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(size), _binary(ids, size), pa.nulls(len(size), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
+def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary value of each range of sizes `size` of an array."""
+    stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)]) * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(stop), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
 def _vocabulary(path: str) -> int:
     return encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -254,7 +337,10 @@ def write_blocks(tokens: DataFrame, ids_by_rank: np.ndarray) -> DataFrame:
 
     spark = tokens.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.where("ids IS NOT NULL").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids").select("doc_id", "ids").mapInArrow(run, shown)
+    # Beyond the doc_id, so that rows that repeat one spread over ranges.
+    order = ["doc_id", "n_tokens", "sum"]
+    rows = tokens.where("ids IS NOT NULL").withColumn("sum", F.xxhash64("ids"))
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids").select("doc_id", "ids").mapInArrow(run, shown)
 
 
 def read_blocks(blocks: DataFrame, ids_by_rank: np.ndarray) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from heritas.llm import bpe, flac, language_id, token_output, toxicity
 
-TEXTS = [None, "", " ", "\n", "a", "Hello, world.", "two  spaces and\ttabs \n\n end ", "it's we'll 123 4,5 <|endoftext|>", "é ñ ß 漢字 \U0001f600 \x1c x", "same text", "same text", "word " * 5000, "x" * 30000]
+TEXTS = [None, "", " ", "\n", "a", "Hello, world.", "two  spaces and\ttabs \n\n end ", "it's we'll 123 4,5 <|endoftext|>", "é ñ ß 漢字 \U0001f600 \x1c x", "same text", "same text", "word " * 5000, "x" * 30000, "<|endoftext|>", "a<|endoftext|><|endoftext|> b \n<|endoftext|>", "un<|endoftext|>der"]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,6 @@ def test_token_file(spark, docs, empty):
 
     path = P.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = token_output.token_output(docs, path).orderBy("start").collect()
     rows = docs.select("doc_id", "text").collect()
     want = [(r["doc_id"], t.encode(r["text"] or "", add_special_tokens=False).ids + [0]) for r in rows]
@@ -50,6 +49,34 @@ def test_token_file(spark, docs, empty):
     assert token_output.token_output(empty, path).count() == 0
 
 
+def test_chunks_against_the_library(monkeypatch):
+    """Texts of odd white space, marks and added tokens; a table that is emptied
+    again and again; pieces of a few chunks."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    parts = ["a", "Zz", "é", "漢", "7", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\0", ".", ",", "!", "'s", "'", "_", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    for size, pieces in ((96 << 20, 1 << 19), (1 << 12, 7)):
+        monkeypatch.setattr(token_output, "CACHE_BYTES", size)
+        monkeypatch.setattr(token_output, "WORDS_AT_ONCE", pieces)
+        encoder = token_output.ChunkEncoder(P.path("byte_bpe_50k.json"))
+        for at in range(0, len(texts), 250):
+            own = texts[at : at + 250]
+            ids, n = encoder.encode(own)
+            assert np.split(ids, np.cumsum(n)[:-1]) and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in t.encode_batch(own, add_special_tokens=False)]
+        assert max(map(len, encoder.known.slot)) <= token_output.CACHED_CHUNK
+
+
+def test_repeated_ids_in_a_token_file(spark):
+    """Rows of one id, and of none, keep an order of their own and all ranges."""
+    rows = [(7, f"text {i % 5} " * (i % 9)) for i in range(300)] + [(None, "none"), (None, None), (1, "one")]
+    got = token_output.token_output(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json")).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 1] + [7] * 300
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])[:-1]]).tolist()
+
+
 def test_bpe(docs, empty):
     import tiktoken
 
