@@ -3,31 +3,35 @@
 Words are runs without white space, lower-cased, without punctuation (runs of
 punctuation alone don't count).  A window has as many words as an item.
 
-1. The shingles of whole texts are looked up among the items' shingles.  A
-   window of similarity `threshold` or more shares at least
+1. A window of similarity `threshold` or more shares at least
    threshold / (1 + threshold) of both sides' shingles with its item, so it has
-   that many hits of that item among its positions.  Of all windows of a text
-   just those with so many hits, wherever in the item they stand, are wanted;
-   no other window can reach the threshold.
-2. Those windows get a 64-bit SimHash of their words.  Fingerprints are cut into
-   four 16-bit blocks, and the items' blocks are indexed with up to FLIPS bits
-   flipped: two fingerprints within RADIUS = 4 * (FLIPS + 1) - 1 bits have a
-   block within FLIPS bits (pigeonhole), so the index misses none of them.
-3. Pairs within RADIUS, and the pairs of step 1 that aren't (a fingerprint is
-   random, so no radius holds them all), are verified by the exact weighted
-   similarity of their shingles (weight: how often a shingle occurs; sum of
-   minima over sum of maxima) of at least `threshold`.
-
-So the result is that of comparing all windows with all items.
-
-Everything is DataFrame functions.  The documents' side of both lookups isn't
-shuffled while the items' tables (whose sizes are known, being stored) are small
-enough for Spark's broadcast threshold; beyond it Spark shuffles both.  The
-texts of hit documents come back by the row's key; hits are a small part.
+   that many of the benchmark's shingles.  One pass over whole texts looks their
+   shingles up and leaves just the windows that can reach the threshold, whatever
+   item they may be near to.  (A fingerprint of each window of every text and
+   item size would take 64 sums a word and size, some 2,000 CPU seconds a GB in
+   native functions.)
+2. These windows, each content once, get a SimHash of BITS bits: the votes of
+   their words, added up in 16-bit lanes, four a number.  Fingerprints are cut
+   into 16-bit blocks, and the items' blocks are indexed with up to FLIPS bits
+   flipped, so every pair of fingerprints within RADIUS = BITS / 16 * (FLIPS + 1)
+   - 1 bits is found (pigeonhole): one of their blocks differs by FLIPS bits at
+   most.  Farther pairs are found where any block does.  A window at the threshold
+   whose words occur once has a tenth of its words changed, which flips 37 of 256
+   bits on average; that no block of it is within FLIPS bits has a probability
+   under 1e-6.  Pairs beyond LIMIT bits are dropped.
+3. The pairs are verified by the exact weighted similarity of their shingles
+   (weight: how often a shingle occurs; sum of minima over sum of maxima).
+
+Everything is DataFrame functions.  The documents' side of step 1 isn't shuffled
+while the items' shingles (whose size is known, being stored) are under Spark's
+broadcast threshold; beyond it Spark shuffles both, behind its own Bloom filter
+where the settings allow one.  The texts of hit documents come back by the row's
+key; hits are a small part.
 
 Null and empty texts have no windows; a text shorter than an item is one window;
-items without words match nothing, items under five words are one shingle; repeated rows give one result;
-an empty table gives an empty result; other columns are ignored.
+items without words match nothing, items under five words are one shingle; of
+equally similar windows the first counts; repeated rows give one result; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +39,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import prepare, stored
+from heritas.llm.common import drop_stored, prepare, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
-FLIPS = 3
-RADIUS = 4 * (FLIPS + 1) - 1
+BITS, FLIPS = 256, 2
+BLOCKS = BITS // 16
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+LIMIT = 90
+#: One in each of four 16-bit lanes.
+LANES = 0x0001000100010001
 WORDS = r"filter(split(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 
 
@@ -50,17 +58,35 @@ def _shingles(words: str, size: str) -> str:
 
 
 def _simhash(words: str) -> str:
-    """SQL: 64-bit SimHash of an array of words, each occurrence counting once."""
-    votes = "aggregate(hashes, 0L, (s, h) -> s + (shiftright(h, b) & 1L) * 2 - 1)"
-    bits = f"aggregate(sequence(0, 63), 0L, (f, b) -> f | IF({votes} > 0, shiftleft(1L, b), 0L))"
-    return f"element_at(transform(array(transform({words}, w -> xxhash64(w))), hashes -> {bits}), 1)"
+    """SQL: SimHash of an array of words (array of BITS / 64 numbers), each
+    occurrence counting once.  Lane l of the j-th sum counts the words with bit
+    16 l + j; a bit is set where more than half of them have it.  Lanes hold for
+    up to 32,766 words."""
+    votes = f"aggregate(hashes, 0L, (s, h) -> s + (shiftrightunsigned(h, j) & {LANES}L))"
+    half = f"(16383L - CAST(size(hashes) DIV 2 AS long)) * {LANES}L"
+    bits = f"aggregate(sequence(0, 15), 0L, (f, j) -> f | shiftleft(shiftrightunsigned({votes} + {half}, 14) & {LANES}L, j))"
+    seeds = ", ".join(f"transform({words}, w -> xxhash64(w, {k}))" for k in range(BITS // 64))
+    return f"transform(array({seeds}), hashes -> {bits})"
+
+
+def _numbered(shingles: str) -> str:
+    """SQL: a list's members with a number for each repetition, so that lists
+    can be compared as sets."""
+    again = f"transform({shingles}, (x, i) -> xxhash64(x, size(filter(slice({shingles}, 1, i), y -> y = x))))"
+    return f"IF(size(array_distinct({shingles})) = size({shingles}), transform({shingles}, x -> xxhash64(x, 0)), {again})"
+
+
+def _blocks(print_: str) -> str:
+    """SQL: the 16-bit blocks of a fingerprint."""
+    return f"transform(sequence(0, {BLOCKS - 1}), k -> struct(k AS block, shiftrightunsigned({print_}[k DIV 4], 16 * (k % 4)) & 65535L AS value))"
 
 
 def items_table(benchmark: DataFrame) -> DataFrame:
-    """item_id, n (words), size (of a shingle), shingles, fingerprint."""
+    """item_id, n (words), size (of a shingle), shingles, numbered, fingerprint."""
     words = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select("item_id", F.expr(WORDS).alias("words")).where("size(words) > 0")
     sized = words.withColumn("n", F.size("words")).withColumn("size", F.least("n", F.lit(SHINGLE)))
-    return sized.select("item_id", "n", "size", F.expr(_shingles("words", "size")).alias("shingles"), F.expr(_simhash("words")).alias("fingerprint"))
+    sized = sized.withColumn("shingles", F.expr(_shingles("words", "size")))
+    return sized.select("item_id", "n", "size", "shingles", F.expr(_numbered("shingles")).alias("numbered"), F.expr(_simhash("words")).alias("fingerprint"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -91,23 +117,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     # A window has so many hits if it holds one hit and the (least - 1)th behind it.
     starts = """array_distinct(flatten(transform(sequence(0, size(at) - least), i -> IF(at[i + least - 1] - own + 1 <= at[i] AND at[i + least - 1] - own + 1 <= length - least(n, length),
         sequence(greatest(0, at[i + least - 1] - own + 1), least(at[i], length - least(n, length))), CAST(array() AS array<int>)))))"""
-    counted = stored(hits.select(*row, "item_key", "size", "n", F.explode(F.expr(starts)).alias("start")), "windows-counted")
-    wanted = stored(counted.groupBy(*row).agg(F.collect_set(F.struct("start", "size", "n")).alias("wanted")), "windows-wanted")
+    wanted = hits.select(*row, "size", "n", F.explode(F.expr(starts)).alias("start")).groupBy(*row).agg(F.collect_set(F.struct("start", "size", "n")).alias("wanted"))
+    wanted = stored(wanted, "windows-wanted")
+    drop_stored(places)
     rows = texts.join(wanted, row).select(*row, "doc_id", F.expr(WORDS).alias("words"), "wanted").dropDuplicates(row)
     windows = rows.select(*row, "doc_id", F.explode(F.expr("transform(wanted, x -> struct(x.start AS start, x.size AS size, x.n AS n, slice(words, x.start + 1, x.n) AS words))")).alias("w")).select(*row, "doc_id", "w.*")
-    windows = stored(windows.select(*row, "doc_id", "start", "n", F.size("words").alias("n_words"), F.expr(_shingles("words", "size")).alias("theirs"), F.expr(_simhash("words")).alias("print")), "windows")
-
-    def blocks(column: str) -> str:
-        return f"transform(sequence(0, 3), k -> struct(k AS block, shiftright({column}, 16 * k) & 65535L AS value))"
-
-    index = items.select("item_key", "fingerprint", F.explode(F.expr(blocks("fingerprint"))).alias("b"))
+    # Windows of one size and equal words are one content.
+    content = ["content_a", "content_b"]
+    windows = windows.withColumn("content_a", F.xxhash64("words", "size", "n")).withColumn("content_b", F.xxhash64("n", "size", "words"))
+    windows = stored(windows.withColumn("n_words", F.size("words")), "windows")
+    contents = windows.groupBy(*content).agg(F.any_value("words").alias("words"), F.any_value("size").alias("size"), F.any_value("n").alias("n"))
+    contents = contents.select(*content, "n", F.expr(_shingles("words", "size")).alias("theirs"), F.expr(_simhash("words")).alias("print"))
+    contents = stored(contents.select(*content, "n", F.expr(_numbered("theirs")).alias("theirs"), "print"), "contents")
+    drop_stored(wanted)
+
+    index = items.select("item_key", F.explode(F.expr(_blocks("fingerprint"))).alias("b"))
     index = index.withColumn("mask", F.explode(F.expr(f"filter(sequence(0L, 65535L), m -> bit_count(m) <= {FLIPS})")))
-    index = stored(index.select(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_key", "fingerprint"), "index")
-    window = [*row, "start", "n"]
-    probes = windows.select(*window, "print", F.explode(F.expr(blocks("print"))).alias("b")).select(*window, "print", "b.*")
-    near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS).select(*window, "item_key")
-    pairs = near.union(counted.select(*window, "item_key")).distinct().join(windows.drop("print"), window).join(items.select("item_key", "item_id", "shingles"), "item_key")
-    both = F.expr("aggregate(array_distinct(theirs), 0, (s, h) -> s + least(size(filter(theirs, x -> x = h)), size(filter(shingles, x -> x = h))))")
-    scored = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.lit(1), F.size("theirs") + F.size("shingles") - F.col("both")))
-    best = scored.where(F.col("similarity") >= threshold).groupBy(*row, "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))
+    index = stored(index.select(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("mask")).alias("value"), "item_key"), "index")
+    probes = contents.select(*content, F.explode(F.expr(_blocks("print"))).alias("b")).select(*content, "b.*")
+    near = probes.join(index, ["block", "value"]).select(*content, "item_key").distinct()
+    differ = sum((F.bit_count(F.col("print")[k].bitwiseXOR(F.col("fingerprint")[k])) for k in range(BITS // 64)), F.lit(0))
+    pairs = near.join(items.select("item_key", "item_id", F.col("n").alias("item_n"), "numbered", "fingerprint"), "item_key").join(contents, content).where((F.col("n") == F.col("item_n")) & (differ <= LIMIT))
+    both = F.size(F.array_intersect("theirs", "numbered"))
+    scored = pairs.withColumn("both", both).withColumn("similarity", F.col("both") / F.greatest(F.lit(1), F.size("theirs") + F.size("numbered") - F.col("both")))
+    scored = scored.where(F.col("similarity") >= threshold).groupBy(*content, "item_id").agg(F.max("similarity").alias("similarity"))
+    met = windows.drop("words").join(scored, content)
+    best = met.groupBy(*row, "item_id").agg(F.max_by(F.struct("doc_id", "start", "n_words", "similarity"), F.struct("similarity", -F.col("start"), "n_words")).alias("w"))
     return best.select(*row, "w.doc_id", "item_id", "w.start", "w.n_words", "w.similarity")
