@@ -3,25 +3,35 @@
 Base kinds (email, ip, card, phone) are leftmost non-overlapping matches per
 kind with their checks.  They seed the extraction of further identifiers:
 
-* an instance is a base match, or a token with a digit outside all base matches;
-* a pattern is the word before an instance, or the word behind it;
+* an instance is a base match, or a token with a digit outside all base matches
+  (without the marks around it);
+* seeds are base matches and tokens in the form of a key: KEY_LENGTH or more of
+  letters, digits and `_+/=-`, with KEY_RUNS or more runs of letters and KEY_DIGITS
+  or more digits;
+* a pattern is the word before an instance, the two words before it, the word
+  behind it, or the instance's own shape (digits as 9, letters as a; of letters
+  and digits in turn, the length);
 * Spark scores the graph of patterns and instances in ROUNDS turns: a pattern's
-  score is the confidence that its instances have, added up, over how often its
-  word occurs in the whole corpus; an instance's confidence is the noisy-or of
+  score is the confidence that its instances have, added up, over how often the
+  pattern occurs in the whole corpus; an instance's confidence is the noisy-or of
   its patterns' scores (seeds keep 1).  Each round admits the patterns that the
-  last one's instances reach, so contexts up to ROUNDS patterns from a base match
-  are found;
-* tokens next to patterns of at least MIN_SCORE with MIN_SUPPORT different
-  instances are reported as kind `id`.
-
-Everything is DataFrame functions.  The text is scanned in one narrow pass that
+  last one's instances reach, so contexts up to ROUNDS patterns from a seed are
+  found.  Patterns with instances at under FLOOR of their occurrences, such as
+  common words, score 0;
+* tokens with a pattern of at least MIN_SCORE and MIN_SUPPORT different instances
+  are reported as kind `id`.
+
+Everything is DataFrame functions.  Texts are scanned in pieces of PIECE or more
+characters, cut between white space and a letter, where no base match and no token
+goes on; so the work grows with a text's length and not with its square.  The pass
 keeps spans and contexts only; word counts are pre-aggregated and restricted to
-the patterns' words; hot patterns and hot tokens are sums with partial results.
+the patterns' words; edges are one row a pattern and value before any join.
 
 Null texts count as empty and have no spans.  Very long texts are scanned
 whole; the patterns can't backtrack over more than one run of characters.
-Copies and repeated ids get their own rows with equal spans; an empty table
-gives an empty result; other columns are ignored.
+Copies, repeated ids and null ids get their own rows, equal texts of one id equal
+spans; of equal scores all are reported; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +53,12 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 ROUNDS = 3
 MIN_SCORE = 0.5
 MIN_SUPPORT = 5
-#: Characters beside an instance in which its neighbour word is sought.
-REACH = 80
+FLOOR = 0.05
+KEY_LENGTH, KEY_RUNS, KEY_DIGITS = 20, 3, 4
+PIECE = 1024
+#: A piece of a text (see above), or what is left of it.
+PIECES = rf"(?s).{{{PIECE},}}?(?:[\x20\x09-\x0D](?=\p{{L}})|\z)|.+"
+WHITE = r"[\x20\x09-\x0D]+"
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -71,13 +85,31 @@ _CHECKS = {
 }
 
 
-def with_base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
-    """docs and a column of base spans, sorted by start, then kind."""
+def _quoted(pattern: str) -> str:
+    """SQL: a pattern as a raw string."""
+    return "r'" + pattern.replace("'", "\\x27") + "'"
+
+
+def _base(text: str) -> str:
+    """SQL: base spans of a text."""
     spans = []
     for k, (kind, pattern, has) in enumerate((("email", EMAIL, "contains({t}, '@')"), ("ip", IP, "contains({t}, '.') AND {t} RLIKE '[0-9][.][0-9]'"), ("card", CARD, "{t} RLIKE '[0-9]'"), ("phone", PHONE, "contains({t}, '+')"))):
         found = f"transform(filter({_located(text, pattern)}, x -> {_CHECKS[kind]}), x -> named_struct('start', x.start, 'kind', {k}, 'stop', x.start + length(x.value)))"
         spans.append(f"IF({has.format(t=text)}, {found}, CAST(array() AS {SPAN}))")
-    return docs.withColumn(out, F.expr(f"IF({text} IS NULL, CAST(array() AS {SPAN}), array_sort(concat({', '.join(spans)})))"))
+    return f"array_sort(concat({', '.join(spans)}))"
+
+
+def _in_pieces(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the pieces__ of a text, and at__: what lies before each."""
+    cut = f"CASE WHEN {text} IS NULL THEN CAST(array() AS array<string>) WHEN length({text}) <= {2 * PIECE} THEN array({text}) ELSE regexp_extract_all({text}, {_quoted(PIECES)}, 0) END"
+    docs = docs.withColumn("pieces__", F.expr(cut)).withColumn("at__", F.expr("transform(pieces__, x -> length(x))"))
+    return docs.withColumn("at__", F.expr("transform(at__, (x, i) -> aggregate(slice(at__, 1, i), 0, (s, n) -> s + n))"))
+
+
+def with_base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
+    """docs and a column of base spans, sorted by start, then kind."""
+    own = "transform(pieces__, (piece, i) -> transform(" + _base("piece") + ", s -> named_struct('start', s.start + at__[i], 'kind', s.kind, 'stop', s.stop + at__[i])))"
+    return _in_pieces(docs, text).withColumn(out, F.expr(f"flatten({own})")).drop("pieces__", "at__")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -85,52 +117,81 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row_key_a__", F.xxhash64("doc_id", "text")).withColumn("row_key_b__", F.xxhash64("text", "doc_id", F.lit(7)))
 
 
+#: A token's part from its first letter or digit to its last; what may stand
+#: before the first; marks that end a text; and the rest of a token.
+CORE, LEAD = r"^[^\p{L}\p{N}]*+((?s:.*)[\p{L}\p{N}])", r"^[^\p{L}\p{N}]*+"
+OPEN, REST = r"[^\x20\x09-\x0D\p{L}\p{N}]+$", r"^[^\x20\x09-\x0D]++"
+KEY = rf"^[A-Za-z0-9_+/=-]{{{KEY_LENGTH},}}$"
+#: Sides of a pattern: the word before, the two words before, the word behind,
+#: and the shape.
+BEFORE, TWO, BEHIND, SHAPE = "L", "LL", "R", "S"
+
+
+def _words(text: str) -> str:
+    """SQL: the words of a text, lower-cased."""
+    return f"filter(split(lower({text}), {_quoted(WHITE)}), w -> w <> '')"
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, row key, base spans and instances (kind, place, value, words beside)."""
-    base = with_base_spans(keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))))
-    loose = f"IF(text RLIKE '[0-9]', {_located('text', TOKEN)}, CAST(array() AS array<struct<start:int,value:string>>))"
-    loose = f"filter({loose}, x -> NOT exists(base, b -> b.start < x.start + length(x.value) AND x.start < b.stop))"
-    base = base.withColumn("loose", F.expr(loose))
-    instances = (
-        "concat(transform(base, b -> named_struct('kind', b.kind, 'start', b.start, 'stop', b.stop)), "
-        "transform(loose, x -> named_struct('kind', 4, 'start', x.start, 'stop', x.start + length(x.value))))"
-    )
-    base = base.withColumn("instances", F.expr(instances))
-    beside = f"""transform(instances, i -> named_struct('kind', i.kind, 'start', i.start, 'stop', i.stop,
-        'value', substring(text, i.start + 1, i.stop - i.start),
-        'left', element_at(split(concat(' ', rtrim('\\t\\n\\u000b\\f\\r ', substring(text, greatest(i.start - {REACH}, 0) + 1, least(i.start, {REACH})))), '[\\\\x20\\\\x09-\\\\x0D]'), -1),
-        'right', element_at(split(concat(ltrim('\\t\\n\\u000b\\f\\r ', substring(text, i.stop + 1, {REACH})), ' '), '[\\\\x20\\\\x09-\\\\x0D]'), 1)))"""
-    return base.select("doc_id", "row_key_a__", "row_key_b__", "base", F.expr(beside).alias("instances"))
+    """doc_id, row key, base spans and instances (kind, start, stop, value, and
+    the words before and behind)."""
+    texts = _in_pieces(keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))), "text")
+    loose = f"IF(piece RLIKE '[0-9]', {_located('piece', TOKEN)}, CAST(array() AS array<struct<start:int,value:string>>))"
+    loose = f"transform({loose}, x -> named_struct('start', x.start + length(regexp_extract(x.value, {_quoted(LEAD)}, 0)), 'value', regexp_extract(x.value, {_quoted(CORE)}, 1)))"
+    loose = f"filter({loose}, x -> NOT exists(bases, b -> b.start < x.start + length(x.value) AND x.start < b.stop))"
+    spans = f"concat(bases, transform({loose}, x -> named_struct('start', x.start, 'kind', 4, 'stop', x.start + length(x.value))))"
+    # Words beside a piece's first and last token may lie in the next pieces.
+    before = _words(f"regexp_replace(concat(IF(i > 0, pieces__[i - 1], ''), substring(piece, 1, z.start)), {_quoted(OPEN)}, '')")
+    behind = _words(f"regexp_replace(concat(substring(piece, z.stop + 1), IF(i + 1 < size(pieces__), pieces__[i + 1], '')), {_quoted(REST)}, '')")
+    found = f"""transform({spans}, z -> named_struct('start', z.start + at__[i], 'kind', z.kind, 'stop', z.stop + at__[i],
+        'value', substring(piece, z.start + 1, z.stop - z.start), 'before', slice(reverse({before}), 1, 2), 'behind', get({behind}, 0)))"""
+    each = f"transform(pieces__, (piece, i) -> element_at(transform(array({_base('piece')}), bases -> {found}), 1))"
+    out = texts.withColumn("instances", F.expr(f"flatten({each})"))
+    base = "transform(filter(instances, z -> z.kind < 4), z -> named_struct('start', z.start, 'kind', z.kind, 'stop', z.stop))"
+    return out.select("doc_id", "row_key_a__", "row_key_b__", F.array_sort(F.expr(base)).alias("base"), "instances")
+
+
+def _shape(value: str) -> str:
+    """SQL: the form of a value."""
+    letters, plain = _quoted(r"\p{L}+"), _quoted(r"^[\p{L}\p{N}_+/=-]+$")
+    runs = f"size(regexp_extract_all({value}, {letters}, 0))"
+    return f"IF({runs} >= {KEY_RUNS} AND {value} RLIKE {plain}, concat('mixed ', length({value})), regexp_replace(regexp_replace({value}, {letters}, 'a'), '[0-9]', '9'))"
 
 
 def discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """Spans of kind `id` by row key: row_key_a__, row_key_b__, more."""
-    one = scanned.select("row_key_a__", "row_key_b__", F.explode("instances").alias("i")).select("row_key_a__", "row_key_b__", "i.*")
-    contexts = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))).alias("c")
-    met = one.select("kind", "value", contexts).select("kind", "value", "c.*").where("word <> ''")
-    edges = stored(met.groupBy("side", "word", "value").agg(F.count("*").alias("n"), F.max(F.when(F.col("kind") < 4, 1).otherwise(0)).alias("seed")), "edges")
+    row = ["row_key_a__", "row_key_b__"]
+    one = scanned.select(*row, F.explode("instances").alias("i")).select(*row, "i.*")
+    is_key = f"value RLIKE {_quoted(KEY)} AND size(regexp_extract_all(value, '[A-Za-z]+', 0)) >= {KEY_RUNS} AND length({_digits('value')}) >= {KEY_DIGITS}"
+    one = one.withColumn("seed", F.expr(f"kind < 4 OR ({is_key})"))
+    sides = ((BEFORE, "get(before, 0)"), (TWO, "concat(get(before, 1), ' ', get(before, 0))"), (BEHIND, "behind"), (SHAPE, _shape("value")))
+    contexts = F.explode(F.expr("array(" + ", ".join(f"named_struct('side', '{s}', 'word', {w})" for s, w in sides) + ")")).alias("c")
+    met = one.select("seed", "value", contexts).select("seed", "value", "c.*").where("word <> ''")
+    edges = stored(met.groupBy("side", "word", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
     # Patterns of a few instances can't reach MIN_SUPPORT.  All others stay, as a
-    # round can admit patterns that no base match touches.
-    support = edges.groupBy("side", "word").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT)
-    support = stored(support, "patterns")
-    words = docs.select(F.explode(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+")).alias("word"))
-    known = support.select("word").distinct()
-    often = words.join(known, "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
-    patterns = stored(support.join(often, "word"), "patterns")
-    graph = stored(edges.join(patterns.select("side", "word", "often"), ["side", "word"]), "graph")
+    # round can admit patterns that no seed touches.
+    support = edges.groupBy("side", "word").agg(F.count("*").alias("support"), F.sum("n").alias("met")).where(F.col("support") >= MIN_SUPPORT)
+    support = stored(support, "support")
+    words = docs.select(F.expr(_words("CAST(text AS string)")).alias("w"))
+    pairs = "IF(size(w) > 1, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)), CAST(array() AS array<string>))"
+    known = support.where(F.col("side") != SHAPE).select("word").distinct()
+    often = words.select(F.explode(F.expr(f"concat(w, {pairs})")).alias("word")).join(known, "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    counted = support.join(often, "word", "left").withColumn("often", F.when(F.col("side") == SHAPE, F.col("met")).otherwise(F.greatest("often", "met")))
+    patterns = stored(counted.where(F.col("met") >= FLOOR * F.col("often")).select("side", "word", "often"), "patterns")
+    graph = stored(edges.join(patterns, ["side", "word"]), "graph")
     drop_stored(edges, support)
     # Values without confidence, which add nothing, have no row.
-    trust = graph.where("seed = 1").select("value").distinct().withColumn("trust", F.lit(1.0))
+    trust = graph.where("seed").select("value").distinct().withColumn("trust", F.lit(1.0))
     scored = None
     for _ in range(ROUNDS):
         scored = graph.join(trust, "value").groupBy("side", "word").agg(F.least(F.lit(0.999), F.sum(F.col("n") * F.col("trust")) / F.max("often")).alias("score"))
         scored = stored(scored, "scores")
-        trust = graph.join(scored, ["side", "word"]).groupBy("value").agg(F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("trust"))
+        trust = graph.join(scored, ["side", "word"]).groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), 1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("trust"))
         trust = stored(trust, "trust")
     good = scored.where(F.col("score") >= MIN_SCORE).select("side", "word")
-    loose = one.where("kind = 4").select("row_key_a__", "row_key_b__", "start", "stop", contexts).select("row_key_a__", "row_key_b__", "start", "stop", "c.*")
+    loose = one.where("kind = 4").select(*row, "start", "stop", contexts).select(*row, "start", "stop", "c.*")
     hit = loose.join(good, ["side", "word"], "left_semi")
-    return hit.groupBy("row_key_a__", "row_key_b__").agg(F.collect_set(F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("stop"))).alias("more"))
+    return hit.groupBy(*row).agg(F.collect_set(F.struct(F.col("start"), F.lit(4).alias("kind"), F.col("stop"))).alias("more"))
 
 
 def _joined(spans: Column) -> Column:
@@ -148,9 +209,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by kind and the spans as text."""
+    """Counts by kind and of all spans, and the spans as text."""
     count = [F.expr(f"CAST(size(filter(base, s -> s.kind = {k})) AS long) AS n_{kind}") for k, kind in enumerate(KINDS[:4])]
-    return found.select("doc_id", *count, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    count.append(F.expr("CAST(size(filter(spans, s -> s.kind = 4)) AS long) AS n_id"))
+    return found.select("doc_id", *count, F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
