@@ -3,21 +3,24 @@
 encode_media stores each text's payload (its UTF-8 bytes, filled up with bytes
 255 to a positive multiple of 576) as one mono 8-bit FLAC stream: STREAMINFO
 with the MD5 of the samples, a SEEKTABLE with one point a frame, frames of 576
-samples.  Each frame takes the fixed predictor of order 0, 1 or 2 with the
-smallest residual and its best Rice parameter, or is stored verbatim or as a
-constant where that is shorter.  A payload byte b is the sample b - 128.
+samples.  Each frame takes the cheapest of the fixed predictors of order 0, 1 and
+2 and a linear predictor of order LPC_ORDER (autocorrelation, quantised), with its
+best Rice parameter, or is stored verbatim or as a constant where that is shorter.
+A payload byte b is the sample b - 128.
 
 decode_media reads such streams back: CRC-8 of headers, CRC-16 of frames,
 Rice partitions (both methods, with escapes), constant, verbatim, fixed and
 LPC subframes, then the MD5.  pcm_blocks gives the decoded samples as blocks
-with their first sample's number, so that a reader can seek.
+with their first sample's number, and read_pcm any range of samples: both decode
+only the frames that the seek table names.
 
-Frames are independent, so numpy works on all frames of a batch side by side:
-a step handles the i-th residual of every frame.  The plan is narrow.
+Frames are independent, so numpy works on many frames side by side: a step
+handles the i-th residual of each.  The plan is narrow.
 
-Null and empty texts have a payload of 576 bytes 255; very long texts are
-split by frames, not by rows; copies have equal results; an empty table gives
-an empty result; other columns are ignored.  Damaged streams raise ValueError.
+Null and empty texts have a payload of 576 bytes 255; very long texts are worked
+on AT_ONCE bytes of frames at a time; copies, repeated and null ids have equal
+results by row; an empty table gives an empty result; other columns are ignored.
+Damaged streams raise ValueError.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ from heritas.llm.common import prepare
 
 BLOCK = 576
 RATE = 8000
+#: Order of the linear predictor, and bits of a coefficient.
+LPC_ORDER, LPC_BITS = 4, 8
+#: Bits a sample that a linear predictor has to save, as it takes longer to decode.
+LPC_GAIN = 0.3
 #: Payload bytes that numpy handles at once (memory bound of a worker).
 AT_ONCE = 2 << 20
 
@@ -77,6 +84,7 @@ class _Crc:
         return out
 
 
+#: Fixed values of the format: generator polynomials.
 CRC8, CRC16 = _Crc(0x07, 8), _Crc(0x8005, 16)
 
 
@@ -101,6 +109,27 @@ def payload(text: str | None) -> bytes:
     return raw + b"\xff" * (max(1, -(-len(raw) // BLOCK)) * BLOCK - len(raw))
 
 
+def _linear(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals, quantised coefficients and shifts of linear predictors, by the
+    Levinson-Durbin recursion over the rows' autocorrelations."""
+    x = s.astype(np.float64)
+    auto = np.stack([(x[:, i:] * x[:, : BLOCK - i]).sum(1) for i in range(LPC_ORDER + 1)])
+    coef, error = np.zeros((LPC_ORDER, len(s))), np.maximum(auto[0], 1e-9)
+    for i in range(LPC_ORDER):
+        k = (auto[i + 1] - (coef[:i] * auto[i:0:-1]).sum(0)) / error
+        coef[:i] -= k * coef[:i][::-1].copy()
+        coef[i] = k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    most = np.maximum(np.abs(coef).max(0), 1e-9)
+    shift = np.clip(LPC_BITS - 2 - np.floor(np.log2(most)).astype(np.int64), 0, 15)
+    top = (1 << (LPC_BITS - 1)) - 1
+    q = np.clip(np.rint(coef * (1 << shift)), -top - 1, top).astype(np.int32)
+    guess = np.zeros_like(s)
+    for j in range(LPC_ORDER):
+        guess[:, LPC_ORDER:] += q[j][:, None] * s[:, LPC_ORDER - 1 - j : BLOCK - 1 - j]
+    return s - (guess >> shift.astype(np.int32)[:, None]), q, shift
+
+
 def _frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames of the rows of samples: (all bytes, first byte of each frame and the end)."""
     s = samples.astype(np.int32)
@@ -108,9 +137,15 @@ def _frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
     first[:, 1:] = s[:, 1:] - s[:, :-1]
     second = np.zeros_like(s)
     second[:, 2:] = first[:, 2:] - first[:, 1:-1]
-    weight = np.stack([np.abs(s).sum(1), np.abs(first).sum(1), np.abs(second).sum(1)])
+    linear, coef, shift = _linear(s)
+    weight = np.stack([np.abs(r[:, o:]).sum(1) for o, r in enumerate((s, first, second))])
     order = weight.argmin(0)
-    res = s.copy()
+    # What a linear predictor's coefficients cost counts against it: so many bits
+    # fewer a sample, as the residuals' logarithm.
+    gain = np.log2(np.maximum(weight.min(0), 1) / np.maximum(np.abs(linear[:, LPC_ORDER:]).sum(1), 1)) * BLOCK
+    lpc = gain > 9 + LPC_ORDER * (LPC_BITS + 8) + LPC_GAIN * BLOCK
+    order[lpc] = LPC_ORDER
+    res = np.where(lpc[:, None], linear, s)
     res[order == 1] = first[order == 1]
     res[order == 2] = second[order == 2]
     res[np.arange(BLOCK) < order[:, None]] = 0
@@ -118,10 +153,11 @@ def _frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
     mean = np.maximum(u.sum(1) / BLOCK, 1)
     low = np.clip(np.log2(mean).astype(np.int64), 0, 9)
     coded = BLOCK - order
+    head = np.where(lpc, 9 + LPC_ORDER * LPC_BITS, 0)
     tries = [np.clip(low + d, 0, 14) for d in (-1, 0, 1)]
     cost = [(u >> t[:, None]).sum(1) + (t + 1) * coded for t in tries]
     k = np.choose(np.argmin(cost, axis=0), tries)
-    bits = np.min(cost, axis=0) + 8 * order + 10
+    bits = np.min(cost, axis=0) + 8 * order + 10 + head
     constant = (s == s[:, :1]).all(1)
     verbatim = ~constant & (bits >= 8 * BLOCK)
     rice = ~constant & ~verbatim
@@ -143,7 +179,7 @@ def _frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
         out[start[own] + 4 + i] = coded_bytes[number[own], i]
     out[start + 4 + length] = CRC8.rows(out, start, 4 + length)
     sub = start + 5 + length
-    out[sub] = np.where(constant, 0, np.where(verbatim, 2, (8 | order) << 1))
+    out[sub] = np.where(constant, 0, np.where(verbatim, 2, np.where(lpc, 31 + order, 8 | order) << 1))
     raw = samples.view(np.uint8)
     out[sub[constant] + 1] = raw[constant, 0]
     own = np.flatnonzero(verbatim)
@@ -151,22 +187,26 @@ def _frames(samples: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
     own = np.flatnonzero(rice)
     if len(own):
         o, kk = order[own], k[own]
-        for i in range(2):
+        for i in range(LPC_ORDER):
             with_warm = own[o > i]
             out[sub[with_warm] + 1 + i] = raw[with_warm, i]
+        # Bit fields: first bit, value, width.
+        at, fields = (sub[own] + 1 + o) * 8, []
+        has = lpc[own]
+        fields.append((at[has], (LPC_BITS - 1) << 5 | shift[own][has], np.full(int(has.sum()), 9)))
+        for j in range(LPC_ORDER):
+            fields.append((at[has] + 9 + j * LPC_BITS, coef[j][own][has].astype(np.int64) & ((1 << LPC_BITS) - 1), np.full(int(has.sum()), LPC_BITS)))
+        at = at + head[own]
         # 2 bits method, 4 bits partition order, 4 bits parameter
-        at = sub[own] + 1 + o
-        out[at] |= (kk >> 2).astype(np.uint8)
-        out[at + 1] |= ((kk & 3) << 6).astype(np.uint8)
+        fields.append((at, kk, np.full(len(at), 10)))
         v = u[own]
         q = v >> kk[:, None]
         use = np.arange(BLOCK) >= o[:, None]
-        width = np.where(use, q + 1 + kk[:, None], 0)
-        end = (at * 8 + 10)[:, None] + np.cumsum(width, axis=1)
+        end = (at + 10)[:, None] + np.cumsum(np.where(use, q + 1 + kk[:, None], 0), axis=1)
         word = (1 << kk[:, None]) | (v & ((1 << kk[:, None]) - 1))
-        begin = end - (kk + 1)[:, None]
-        begin, word, kk1 = begin[use], word[use].astype(np.int64), np.broadcast_to((kk + 1)[:, None], use.shape)[use]
-        word <<= 24 - (begin & 7) - kk1
+        fields.append(((end - (kk + 1)[:, None])[use], word[use].astype(np.int64), np.broadcast_to((kk + 1)[:, None], use.shape)[use]))
+        begin, word, width = (np.concatenate(x) for x in zip(*fields))
+        word = word << (24 - (begin & 7) - width)
         byte = begin >> 3
         for i, part in enumerate((word >> 16, word >> 8 & 255, word & 255)):
             out += np.bincount(byte + i, weights=part, minlength=len(out)).astype(np.uint8)[: len(out)]
@@ -184,8 +224,12 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     count = np.array([len(p) // BLOCK for p in payloads])
     begin = np.cumsum(count) - count
     number = np.arange(int(count.sum())) - np.repeat(begin, count)
-    flat, at = _frames(signed.reshape(-1, BLOCK), number)
-    body, out = flat.tobytes(), []
+    rows, step, parts, ends = signed.reshape(-1, BLOCK), AT_ONCE // BLOCK, [], [np.zeros(1, np.int64)]
+    for i in range(0, len(rows), step):
+        flat, where = _frames(rows[i : i + step], number[i : i + step])
+        parts.append(flat.tobytes())
+        ends.append(ends[-1][-1] + where[1:])
+    at, body, out = np.concatenate(ends), b"".join(parts), []
     for p, a, n in zip(payloads, begin.tolist(), count.tolist()):
         where = at[a : a + n + 1]
         sizes = np.diff(where)
@@ -395,6 +439,46 @@ def _parse(media: bytes) -> tuple[int, bytes, int, np.ndarray | None]:
     return total, md5, at, None
 
 
+def _samples(flat: np.ndarray, begins: np.ndarray):
+    """Samples and block sizes of the frames that begin at `begins`, so many at a
+    time as have AT_ONCE bytes."""
+    at = 0
+    while at < len(begins):
+        stop = max(at + 1, int(np.searchsorted(begins, begins[at] + AT_ONCE)))
+        end = begins[stop] if stop < len(begins) else len(flat)
+        found, block, _ = _decode_frames(flat[begins[at] : end], begins[at:stop] - begins[at])
+        last = np.cumsum(block)
+        out = np.empty(int(last[-1]), np.int8)
+        for own, x in found:
+            if len(x) and ((x < -128) | (x > 127)).any():
+                raise ValueError("a sample is out of range")
+            out[(last - block)[own][:, None] + np.arange(x.shape[1])] = x
+        yield out, block
+        at = stop
+
+
+def read_pcm(media: bytes, first: int, n: int) -> bytes:
+    """Samples first to first + n (as unsigned bytes) of a stream with a full
+    seek table: only their frames are decoded, and their checksums verified."""
+    total, _, at, offsets = _parse(media)
+    if offsets is None:
+        return decode([media])[0][first : first + n]
+    stop = min(first + n, total)
+    if first >= stop:
+        return b""
+    size = _frame_samples(media)
+    lo, hi = first // size, -(-stop // size)
+    end = at + int(offsets[hi]) if hi < len(offsets) else len(media)
+    flat = np.frombuffer(media, np.uint8)[at + int(offsets[lo]) : end]
+    out = np.concatenate([x for x, _ in _samples(flat, offsets[lo:hi] - offsets[lo])])
+    return (out.view(np.uint8) ^ 0x80)[first - lo * size : stop - lo * size].tobytes()
+
+
+def _frame_samples(media: bytes) -> int:
+    """Samples of each frame but the last (STREAMINFO comes first)."""
+    return int.from_bytes(media[8:10], "big")
+
+
 def decode(streams: list[bytes]) -> list[bytes]:
     """The payloads of FLAC streams; checks all checksums."""
     if not streams:
@@ -414,14 +498,11 @@ def decode(streams: list[bytes]) -> list[bytes]:
         begins.append(base[i] + at + offsets)
         owner.append(np.full(len(offsets), i))
     begins, owner = np.concatenate(begins), np.concatenate(owner)
-    found, block, _ = _decode_frames(flat, begins)
-    stop = np.cumsum(block)
-    first = stop - block
-    out = np.empty(int(stop[-1]) if len(stop) else 0, np.int8)
-    for own, x in found:
-        if len(x) and ((x < -128) | (x > 127)).any():
-            raise ValueError("a sample is out of range")
-        out[first[own][:, None] + np.arange(x.shape[1])] = x
+    blocks, parts = [], []
+    for raw, block in _samples(flat, begins):
+        parts.append(raw)
+        blocks.append(block)
+    out, block = np.concatenate([np.zeros(0, np.int8), *parts]), np.concatenate([np.zeros(0, np.int64), *blocks])
     result, count = [], np.bincount(owner, weights=block, minlength=len(streams)).astype(np.int64)
     at = 0
     for (total, md5, _, _), n in zip(parsed, count.tolist()):
@@ -463,9 +544,13 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 def features(payload: bytes) -> str:
     """mean, root mean square, peak and sign changes of the samples."""
-    x = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
-    turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};peak={int(np.abs(x).max())};turns={turns}"
+    total = squares = peak = turns = 0
+    for i in range(0, len(payload), AT_ONCE):
+        x = (np.frombuffer(payload[max(0, i - 1) : i + AT_ONCE], np.uint8) ^ 0x80).view(np.int8).astype(np.int32)
+        turns += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[i > 0 :]
+        total, squares, peak = total + int(x.sum(dtype=np.int64)), squares + int((x * x).sum(dtype=np.int64)), max(peak, int(np.abs(x).max()))
+    return f"mean={total / len(payload):.4f};rms={np.sqrt(squares / len(payload)):.4f};peak={peak};turns={turns}"
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -494,13 +579,18 @@ def decode_media(media: DataFrame) -> DataFrame:
 
 
 def pcm_blocks(media: DataFrame, samples: int = 16 * BLOCK) -> DataFrame:
-    """Decoded samples (unsigned bytes) as blocks: doc_id, first_sample, n_samples, pcm."""
+    """Decoded samples (unsigned bytes) as blocks: doc_id, first_sample, n_samples,
+    pcm.  A block is read by the seek table, so a long stream is never whole in
+    memory."""
 
     def run(batches):
         for b in batches:
             for doc, m in zip(b.column(0).to_pylist(), b.column(1)):
-                whole = decode([m.as_py()])[0]
-                cut = [whole[i : i + samples] for i in range(0, len(whole), samples)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(cut), pa.int64()), "first_sample": pa.array(range(0, len(whole), samples), pa.int64()), "n_samples": pa.array([len(c) for c in cut], pa.int32()), "pcm": pa.array(cut, pa.binary())})
+                stream = m.as_py()
+                total = _parse(stream)[0]
+                for first in range(0, total, AT_ONCE // samples * samples or samples):
+                    whole = read_pcm(stream, first, AT_ONCE // samples * samples or samples)
+                    cut = [whole[i : i + samples] for i in range(0, len(whole), samples)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(cut), pa.int64()), "first_sample": pa.array(range(first, first + len(whole), samples), pa.int64()), "n_samples": pa.array([len(c) for c in cut], pa.int32()), "pcm": pa.array(cut, pa.binary())})
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, first_sample long, n_samples int, pcm binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heritas.llm.common import held_out, table
+from heritas.llm.common import held_out, stored, table
 
 
 def op1_token_output(spark, sf_dir):
@@ -83,7 +83,8 @@ def op8_language_id(spark, sf_dir):
 def op9_media_flac(spark, sf_dir):
     from heritas.llm.flac import decode_media, encode_media
 
-    return decode_media(encode_media(table(spark, sf_dir, "documents")))
+    media = stored(encode_media(table(spark, sf_dir, "documents")), "media")
+    return decode_media(media)
 
 
 def queries() -> dict:
