@@ -9,17 +9,20 @@ denies it, if the number of levels is odd.  For keys of the universe this is
 exact.
 
 Bits are computed with DataFrame functions alone: keys to bit places, places to
-64-bit words by bit_or with partial sums.  The judging of urls then is a
-narrow pass without joins: levels come in as one row.  A level has BITS_A_KEY
-bits for each of its keys, all levels together at most about 1.2 times the
-first.  Up to MAX_WORDS words a level the row is broadcast (size checked);
-longer lists are cut into shards by the key's hash, each with its own
-cascade, so that no level outgrows that bound, and urls meet their shard's
-levels by one equi-join on the shard's number.
+64-bit words by bit_or with partial results.  A level has BITS_A_KEY bits for each
+of its keys, all levels together at most about 1.2 times the first.  Keys are dealt
+by hash to shards, each with a cascade of its own of at most about SHARD_WORDS words
+a level, so that its arrays are built side by side.  Judging is a narrow pass
+without joins whatever the list's length: the levels of up to GROUP shards come in
+as one row of a scalar subquery (GROUP * SHARD_WORDS * 8 bytes, 64 MiB, and 1.2
+times that with all levels), and a key finds its shard's by position.  A list of
+more than GROUP shards (some 67 million keys) takes a pass for each GROUP shards,
+written in between, so that no pass holds more.
 
 Null urls and urls without `://` have an empty host and path and are judged by
 the cascade like any other host; repeated urls get equal verdicts; an empty
-table gives an empty result; an empty list allows all; other columns stay.
+table gives an empty result; an empty list allows all; columns named host, path,
+rule or verdict are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from heritas.llm.common import ascii_lower, drop_stored, prepare, stored
 
 HASHES = 5
 BITS_A_KEY = 8
-#: 64-bit words of a level that are broadcast at most (2 MiB).
-MAX_WORDS = 1 << 18
+#: 64-bit words of a shard's level (2 MiB), about, and shards of one broadcast row.
+SHARD_WORDS, GROUP = 1 << 18, 32
 
 #: The contract's rules (fixed values): host, path, verdict.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -60,24 +63,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Cascade:
     """levels: rows (shard, level, n_bits, words)."""
 
-    def __init__(self, levels: DataFrame, shards: int, depth: int):
+    def __init__(self, levels: DataFrame | None, shards: int, depth: int):
         self.levels, self.shards, self.depth = levels, shards, depth
 
     def listed(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """df with a boolean column: is the key one of the listed ones?"""
-        if not self.depth:
-            return df.withColumn(out, F.lit(False))
-        rows = self.levels.groupBy("shard").agg(F.expr("transform(array_sort(collect_list(struct(level, n_bits, words))), x -> struct(x.n_bits AS n_bits, x.words AS words)) AS levels"))
-        if self.shards == 1:
-            own = df.withColumn("_levels", rows.select("levels").scalar())
-        else:
-            own = df.withColumn("_shard", shard_of(F.col(key), self.shards)).join(rows.withColumnRenamed("shard", "_shard").withColumnRenamed("levels", "_levels"), "_shard", "left")
-        first_no = F.coalesce(F.size("_levels"), F.lit(0)) if self.shards > 1 else F.size("_levels")
-        verdict = F.when(F.col("_levels").isNull(), F.lit(False))
-        for i in range(self.depth):
-            level = F.col("_levels")[i]
-            verdict = verdict.when(first_no == i, F.lit(i % 2 == 1)).when(~holds(F.col(key), level["n_bits"], level["words"], i), F.lit(i % 2 == 1))
-        return own.withColumn(out, verdict.otherwise(F.lit(self.depth % 2 == 1))).drop("_levels", "_shard")
+        df = df.withColumn(out, F.lit(False))
+        for first in range(0, self.shards if self.depth else 0, GROUP):
+            if first:  # one group's levels at a time
+                df = stored(df, "judged")
+            rows = self.levels.where(F.col("shard").between(first, first + GROUP - 1))
+            cascades = rows.groupBy("shard").agg(F.expr("transform(array_sort(collect_list(struct(level, n_bits, words))), x -> struct(x.n_bits AS n_bits, x.words AS words)) AS levels"))
+            own = df.withColumn("_shard__", shard_of(F.col(key), self.shards) - first).withColumn("_levels__", F.get(_by_shard(cascades, first, "levels").scalar(), "_shard__"))
+            verdict = F.when(~F.col("_shard__").between(0, GROUP - 1), F.col(out)).when(F.col("_levels__").isNull(), F.lit(False))
+            for i in range(self.depth):
+                level = F.col("_levels__")[i]
+                verdict = verdict.when(F.size("_levels__") == i, F.lit(i % 2 == 1)).when(~holds(F.col(key), level["n_bits"], level["words"], i), F.lit(i % 2 == 1))
+            df = own.withColumn(out, verdict.otherwise(F.lit(self.depth % 2 == 1))).drop("_levels__", "_shard__")
+        return df
+
+
+def _by_shard(rows: DataFrame, first: int, value: str) -> DataFrame:
+    """One row: an array with the value of each shard of a group, or null."""
+    held = rows.select((F.col("shard") - first).alias("place"), F.col(value).alias("value"))
+    all_ = held.unionByName(rows.sparkSession.range(GROUP).select(F.col("id").cast("int").alias("place")), allowMissingColumns=True)
+    one = all_.groupBy("place").agg(F.max_by("value", F.col("value").isNotNull()).alias("value"))
+    return one.agg(F.expr("transform(array_sort(collect_list(struct(place, value))), x -> x.value)").alias("values"))
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -97,15 +108,22 @@ def holds(key: Column, n_bits: Column, words: Column, level: int) -> Column:
     return out
 
 
-def _filter(keys: DataFrame, level: int) -> DataFrame:
+def _filter(keys: DataFrame, level: int, shards: int) -> DataFrame:
     """shard, level, n_bits, words of each shard's keys."""
-    sizes = keys.groupBy("shard").agg(F.greatest(F.lit(64), F.ceil(F.count("*") * BITS_A_KEY / 64) * 64).cast("long").alias("n_bits"))
+    sizes = keys.groupBy("shard").agg((F.ceil(F.count("*") * BITS_A_KEY / 64).cast("int")).alias("n_words"))
     sizes = stored(sizes, "bloom-sizes")
-    bits = keys.join(sizes, "shard").select("shard", "n_bits", F.explode(F.array(*places(F.col("key"), F.col("n_bits"), level))).alias("at"))
-    words = bits.groupBy("shard", "n_bits", F.floor(F.col("at") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(pmod(at, 64) AS int)))").alias("bits"))
-    # Every word's place is known, so missing ones become 0 without a join.
-    packed = words.groupBy("shard", "n_bits").agg(F.expr("map_from_entries(collect_list(struct(w, bits)))").alias("m"))
-    return packed.select("shard", F.lit(level).alias("level"), "n_bits", F.expr("transform(sequence(0, CAST(n_bits / 64 AS int) - 1), i -> coalesce(m[i], 0L))").alias("words"))
+    bits = None
+    for first in range(0, shards, GROUP):
+        own = keys.where(F.col("shard").between(first, first + GROUP - 1))
+        own = own.withColumn("n_words", F.get(_by_shard(sizes.where(F.col("shard").between(first, first + GROUP - 1)), first, "n_words").scalar(), F.col("shard") - first))
+        bits = own if bits is None else bits.union(own)
+    at = F.explode(F.array(*places(F.col("key"), F.col("n_words").cast("long") * 64, level)))
+    words = bits.select("shard", at.alias("at")).select("shard", F.floor(F.col("at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(pmod(at, 64) AS int))").alias("bits"))
+    # All words of a shard, so that none is missing.
+    none = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.col("n_words") - 1)).alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = words.union(none).groupBy("shard", "w").agg(F.expr("bit_or(bits)").alias("bits"))
+    packed = words.groupBy("shard").agg(F.expr("transform(array_sort(collect_list(struct(w, bits))), x -> x.bits)").alias("words"))
+    return packed.select("shard", F.lit(level).alias("level"), (F.size("words").cast("long") * 64).alias("n_bits"), "words")
 
 
 def build(universe: DataFrame, listed: DataFrame) -> Cascade:
@@ -117,18 +135,20 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     n = marked.where("listed").count()
     if not n:
         return Cascade(None, 1, 0)
-    shards = -(-n * BITS_A_KEY // (64 * MAX_WORDS))
-    marked = marked.withColumn("shard", shard_of(F.col("key"), shards) if shards > 1 else F.lit(0))
+    shards = -(-n * BITS_A_KEY // (64 * SHARD_WORDS))
+    marked = marked.withColumn("shard", shard_of(F.col("key"), shards))
     inside, outside = marked.where("listed").select("shard", "key"), marked.where("NOT listed").select("shard", "key")
     levels, level = None, 0
     while True:
-        row = stored(_filter(inside, level), "bloom")
+        row = stored(_filter(inside, level, shards), "bloom")
         levels = row if levels is None else levels.union(row)
-        if shards == 1:
-            taken = outside.where(holds(F.col("key"), row.select("n_bits").scalar(), row.select("words").scalar(), level))
-        else:
-            taken = outside.join(row, "shard").where(holds(F.col("key"), F.col("n_bits"), F.col("words"), level)).select("shard", "key")
-        taken = stored(taken.select("shard", "key"), "mistaken")
+        taken = None
+        for first in range(0, shards, GROUP):
+            held = row.where(F.col("shard").between(first, first + GROUP - 1)).select("shard", F.struct("n_bits", "words").alias("level"))
+            own = outside.where(F.col("shard").between(first, first + GROUP - 1)).withColumn("own", F.get(_by_shard(held, first, "level").scalar(), F.col("shard") - first))
+            own = own.where(holds(F.col("key"), F.col("own.n_bits"), F.col("own.words"), level)).select("shard", "key")
+            taken = own if taken is None else taken.union(own)
+        taken = stored(taken, "mistaken")
         level += 1
         if not taken.limit(1).count():
             return Cascade(levels, shards, level)
@@ -143,5 +163,5 @@ def judge(pages: DataFrame, blocked_hosts: DataFrame, rules=RULES) -> DataFrame:
     drop_stored(known)
     ruled = with_host_path(pages)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    found = cascade.listed(ruled, "host", "_listed")
-    return found.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_listed"), "block").otherwise("allow"))).drop("_listed")
+    found = cascade.listed(ruled, "host", "_listed__")
+    return found.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("_listed__"), "block").otherwise("allow"))).drop("_listed__")
