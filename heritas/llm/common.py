@@ -20,9 +20,11 @@ ARROW_ROWS = 400
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a local one is set."""
+    Only a session of one machine that names none, as in tests, gets a local one."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         told = f"file:///tmp/checkpoints/{getpass.getuser()}"
         spark.conf.set("spark.checkpoint.dir", told)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

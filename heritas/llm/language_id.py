@@ -12,9 +12,11 @@ reduced to one row a language and bucket; the classifiers' weights are smoothed
 log-odds of the bit's two sides.  The model's size depends on the number of
 languages and BUCKETS alone.  Prediction is a narrow pass over whole texts.
 
-A null text or one without a letter is `und` with score 0; very long texts
-are read in pieces whose sums add up; copies get equal answers; without any
-labelled row every answer is `und`; other columns are ignored.
+A null text or one without a letter is `und` with score 0; a text in letters of no
+learned language gets the nearest one and is ambiguous if another is nearly as near;
+of codewords equally near the first language by name counts; very long texts are
+read in pieces whose sums add up; copies get equal answers; without any labelled
+row every answer is `und`; other columns are ignored.
 """
 
 from __future__ import annotations

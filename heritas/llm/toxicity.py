@@ -9,13 +9,16 @@ counts as quotation; others count as abuse.  A logistic function of the two
 kinds of weight and their density, fitted on labelled rows, gives the score.
 
 Fitting looks at no more than FIT_DOCS labelled documents with different texts
-(a uniform sample by hash of the text, so copies don't vote); word counts are
-added up by Spark, the lexicon holds LEXICON terms at most, and the driver gets
-four numbers a sampled document.  Scoring is one narrow pass over whole texts.
+(a uniform sample by hash of the text, so copies don't vote; a text with both
+labels counts as toxic); word counts are added up by Spark, every word that passes
+LEAST_ODDS and LEAST_SURETY is a term, and the driver gets those words and four
+numbers a sampled document.  Scoring is one narrow pass over whole texts.
 
 Null and empty texts, and all texts where nothing could be learned, get the
-score of a text without hits; very long texts are scanned whole; copies get
-equal scores; an empty table gives an empty result; other columns are ignored.
+score of a text without hits; labelled rows without a text or a label aren't learned
+from; of terms within one edit of a word the nearest counts, then the heaviest, then
+the first by letters; very long texts are scanned whole; copies get equal scores; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import prepare
+from heritas.llm.common import drop_stored, prepare, stored
 
 FIT_DOCS = 20_000
-LEXICON = 5_000
 #: Shorter terms must be met exactly.
 FUZZY_FROM = 5
 LEAST_ODDS = 2.5
@@ -174,14 +176,14 @@ class Model:
             keep[at[w[:-1] < 0]] = False
 
 
-def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON) -> Model:
+def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """labelled: text, toxic (0/1; rows without a label don't count)."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("text", F.col("toxic").cast("int").alias("toxic"))
     n = rows.count()
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     sample = rows.where(place < int(min(1.0, fit_docs / max(1, n)) * (1 << 30))).groupBy("text").agg(F.max("toxic").alias("toxic"))
-    sample = sample.persist()
+    sample = stored(sample, "labelled-sample")
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
     good = total["n"] - total["bad"]
     words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"), 1))).alias("word"))
@@ -192,7 +194,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON) -
     share = min(max(total["bad"], 1) / max(total["n"], 1), 0.9)
     seen = F.col("bad") + F.col("good")
     surety = F.col("bad") * F.log(F.col("bad") / (seen * share)) + F.col("good") * F.log((F.col("good") + 1e-9) / (seen * (1 - share)))
-    picked = counts.where((F.col("bad") >= 3) & (F.length("word") > 2)).select("word", odds.alias("odds"), surety.alias("surety")).where((F.col("odds") >= LEAST_ODDS) & (F.col("surety") >= LEAST_SURETY)).orderBy(F.desc("odds"), "word").limit(lexicon).collect()
+    picked = counts.where("bad >= 3").select("word", odds.alias("odds"), surety.alias("surety")).where((F.col("odds") >= LEAST_ODDS) & (F.col("surety") >= LEAST_SURETY)).collect()
     model = Model({r["word"]: float(r["odds"]) for r in picked}, set())
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
@@ -211,7 +213,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, lexicon: int = LEXICON) -
             yield pa.RecordBatch.from_pydict({"toxic": b.column(1), "x": pa.array(x, pa.list_(pa.float64()))})
 
     seen = sample.select("text", "toxic").mapInArrow(look, "toxic int, x array<double>").toPandas()
-    sample.unpersist()
+    drop_stored(sample)
     if len(seen):
         model.fit(np.array(seen["x"].tolist(), float), seen["toxic"].to_numpy(float))
     return model
