@@ -11,20 +11,16 @@ from pyspark.sql import functions as F
 
 from heritas.llm.common import held_out, prepare, stored, table
 
-#: A long text whose language stays ambiguous isn't in one of the languages.
-LONG = 400
-
 
 def language_id(spark, docs, sf_dir):
-    """Drop documents without letters (`und`), and long ones whose nearest
-    codewords can't be told apart.  Null texts go, short ambiguous ones stay."""
+    """Drop documents that are in no language (`und`: null texts and texts without
+    letters).  Ambiguous ones stay, whatever their length."""
     from heritas.llm.language_id import fit, flags
 
     prepare(spark)
     model = fit(docs.where(~held_out(docs["doc_id"])))
     found = docs.withColumn("language__", flags(docs, model))
-    good = (F.col("language__.lang_pred") != "und") & ~(F.col("language__.ambiguous") & (F.col("language__.letters") >= LONG))
-    return found.where(good).select(*docs.columns)
+    return found.where("language__.lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
