@@ -14,8 +14,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each turn a node takes the smallest label among its own and its
     neighbours', then its label's label (which halves paths), until none
-    changes.  A turn is a join and an aggregation with partial sums, so a node
-    with very many links is spread over tasks."""
+    changes.  A turn is a join by the neighbour and an aggregation with partial
+    results.  Links are two numbers a row; those of a node with very many meet its
+    label by a join that Spark's adaptive execution splits when it is skewed."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     now = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -30,4 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         now = new
         if not changed:
             drop_stored(both)
-            return now.select("node", F.col("label").alias("component"))
+            out = now.select("node", F.col("label").alias("component"))
+            out._heritas_path = now._heritas_path
+            return out

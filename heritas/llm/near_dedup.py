@@ -4,25 +4,29 @@
    MinHash values, BANDS band keys of ROWS values, and an odd sketch: each
    (place, value) flips one of SKETCH_BITS bits, so that the XOR of two
    sketches counts the values in which they differ.
-2. Documents with equal sets meet by the set's 128-bit hash and are one class.
+2. Rows with equal sets meet by the set's 128-bit hash and are one class, which
+   gets a number when the table of classes is written.
 3. Classes that share a band key are candidates.  A bucket never gives all its
    pairs: every class is paired with a pivot of its buckets (the class that
    shares most buckets, so as a rule the text that others were copied from),
    links are confirmed, and classes of one component aren't compared again.
    A further turn takes other pivots; at last, for all pairs that share a bucket
-   but no component, sketches are compared block by block, and a pair becomes a
-   row only if its sketches are near, and once, in the first bucket that it
-   shares; so no link between components is left out.
+   but no component, sketches are compared block by block, each pair of blocks a
+   row of its own, and a pair becomes a row only if its sketches are near, and
+   once, in the first bucket that it shares; so no link between components is
+   left out.
 4. The sketches' XOR population count drops pairs that are clearly less similar
-   (by more than four standard deviations); the full sets confirm the rest.
+   (by more than four standard deviations); the full sets confirm the rest.  A
+   class of many pairs has its set dealt to as many places as PAIRS_AT_ONCE asks.
 5. Connected components give the groups.
 
 With 20 bands of 4 values, a pair of similarity 0.85 is missed by all bands
 with probability 4e-7 (0.8: 3e-5).
 
 Null or blank texts and null ids have no links; texts with fewer words than a
-shingle are one shingle; rows that repeat a doc_id are one document; an empty
-table gives an empty result; other columns are ignored.
+shingle are one shingle; rows that repeat a doc_id are one document, whatever
+their texts: the links of each text are the document's; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import drop_stored, prepare, stored
+from heritas.llm.common import arrow_rows, drop_stored, prepare, stored
 from heritas.llm.components import components
 
 PERMS, BANDS, ROWS = 256, 20, 4
@@ -44,6 +48,10 @@ SKETCH_BITS = 1024
 PIVOT_TURNS = 2
 #: Classes of a bucket that meet in one comparison of sketches.
 BLOCK = 256
+#: Rows of two blocks in an Arrow batch: a block is 80 kB when full.
+BLOCK_ROWS = 16
+#: Pairs of one class that meet its set in one place.
+PAIRS_AT_ONCE = 256
 #: Shingles hashed at once: memory bound for long texts.
 PIECE = 1 << 16
 
@@ -123,13 +131,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             sketch: list = [None] * len(sets)
             for i, k, o in zip(full, band_keys(sig), sketches(sig) if full else []):
                 bands[i], sketch[i] = k, o
-            whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            set_a, set_b = _digests(sets)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column(0),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_a": pa.array([int.from_bytes(x[:8], "big", signed=True) for x in whole], pa.int64()),
-                    "set_b": pa.array([int.from_bytes(x[8:], "big", signed=True) for x in whole], pa.int64()),
+                    "set_a": set_a,
+                    "set_b": set_b,
                     "bands": pa.array(bands, pa.list_(pa.int64())),
                     "sketch": pa.array(sketch, pa.list_(pa.int64())),
                 }
@@ -138,35 +146,58 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>, sketch array<bigint>")
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """The two halves of each set's 128-bit hash."""
+    whole = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    return tuple(pa.array([int.from_bytes(x[i : i + 8], "big", signed=True) for x in whole], pa.int64()) for i in (0, 8))
+
+
 def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """set_a, set_b, shingles of each text."""
+
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, size).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"rep": b.column(0), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+            sets = [shingle_set(t, size) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*_digests(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_a", "set_b", "shingles"])
+
+    return texts.mapInArrow(run, "set_a long, set_b long, shingles array<bigint>")
+
 
-    return texts.mapInArrow(run, "rep long, shingles array<bigint>")
+def _near(percent: int, sa: str, sb: str, na: str, nb: str) -> Column:
+    """Condition: two sketches and set sizes allow the similarity."""
+    differ = sum((F.bit_count(F.col(sa)[i].bitwiseXOR(F.col(sb)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return (differ <= most_differing(percent / 100)) & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
 
 
-def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
-    limit = most_differing(percent / 100)
-    x, y = sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na")), sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-    differ = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    near = pairs.join(x, "a").join(y, "b").where((differ <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    own, other = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("tb")), sets.select(F.col("rep").alias("a"), F.col("shingles").alias("ta"))
+
+    def side(key: str, out: str) -> tuple[DataFrame, DataFrame]:
+        # A class of many pairs gets its set in several places.
+        many = near.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("places"))
+        spread = many.where("places > 1")
+        own = sets.join(many, sets["cls"] == many[key], "left_semi").join(spread, sets["cls"] == spread[key], "left")
+        own = own.select(F.col("cls").alias(key), F.col("shingles").alias(out), F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)).alias("place_" + key))
+        return own, spread
+
+    (ta, many_a), (tb, many_b) = side("a", "ta"), side("b", "tb")
+    rows = near.join(many_a.withColumnRenamed("places", "pa"), "a", "left").join(many_b.withColumnRenamed("places", "pb"), "b", "left")
+    rows = rows.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("pa", F.lit(1))).cast("int").alias("place_a"), F.pmod(F.xxhash64("a"), F.coalesce("pb", F.lit(1))).cast("int").alias("place_b"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return near.join(own, "b").join(other, "a").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    return rows.join(ta, ["a", "place_a"]).join(tb, ["b", "place_b"]).where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def _near_pairs(placed: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+def _near_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of different components that share a bucket and whose sketches
     are near: blocks of a bucket's classes against blocks."""
     limit = most_differing(percent / 100)
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high").select("band", "many")
-    rows = placed.select("band", "rep", "component").join(open_, "band").join(sketch, "rep")
-    block = F.pmod(F.xxhash64("rep", F.lit(99)), F.ceil(F.col("many") / BLOCK)).cast("int")
-    blocks = stored(rows.groupBy("band", block.alias("block")).agg(F.collect_list(F.struct("rep", "component", "n", "sketch", "bands")).alias("x")), "blocks")
-    both = blocks.join(blocks.select("band", F.col("block").alias("other"), F.col("x").alias("y")), "band").where("block <= other")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where("low <> high").select("band", F.ceil(F.col("many") / BLOCK).cast("int").alias("n_blocks"))
+    rows = placed.join(open_, "band")
+    block = F.pmod(F.xxhash64("cls", F.lit(99)), F.col("n_blocks")).cast("int")
+    blocks = stored(rows.groupBy("band", "n_blocks", block.alias("block")).agg(F.collect_list(F.struct("cls", "component", "n", "sketch", "bands")).alias("x")), "blocks")
+    left = blocks.select("band", "block", F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("other"), "x")
+    right = blocks.select("band", F.explode(F.sequence(F.lit(0), "block")).alias("block"), F.col("block").alias("other"), F.col("x").alias("y"))
+    both = left.join(right, ["band", "block", "other"])
 
     def run(batches):
         for b in batches:
@@ -182,7 +213,10 @@ def _near_pairs(placed: DataFrame, sketch: DataFrame, percent: int) -> DataFrame
                 i, j = i[first], j[first]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ra[i], rb[j])), pa.array(np.maximum(ra[i], rb[j]))], names=["a", "b"])
 
-    return both.select("band", F.col("block") == F.col("other"), "x", "y").mapInArrow(run, "a long, b long")
+    with arrow_rows(placed.sparkSession, BLOCK_ROWS):
+        out = stored(both.select("band", F.col("block") == F.col("other"), "x", "y").mapInArrow(run, "a long, b long"), "near")
+    drop_stored(blocks)
+    return out
 
 
 def _arrays(rows: pa.StructArray) -> list[np.ndarray]:
@@ -199,50 +233,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signed = stored(signatures(docs, size), "signatures")
     key = ["set_a", "set_b"]
     linkable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(linkable.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
-
-    reps = linkable.join(classes.select("rep", *key), on=[linkable["doc_id"] == classes["rep"], linkable["set_a"] == classes["set_a"], linkable["set_b"] == classes["set_b"]], how="left_semi")
-    buckets = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")).distinct()
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(buckets.join(shared, "band"), "buckets")
-    standing = shared.groupBy("rep").agg(F.sum("n").alias("standing"))
-    members = stored(shared.join(standing, "rep").select("band", "rep", "standing"), "members")
-    involved = members.select("rep").distinct()
+    # Numbers are given where the table is written, so they stay.
+    grouped = linkable.groupBy(*key).agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = stored(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+    buckets = classes.select("cls", F.explode(F.array_distinct("bands")).alias("band"))
+    crowd = buckets.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
+    shared = stored(buckets.join(crowd, "band"), "buckets")
+    standing = shared.groupBy("cls").agg(F.sum("many").alias("standing"))
+    involved = stored(classes.join(standing, "cls"), "involved")
+    members = stored(shared.select("band", "cls").join(involved.select("cls", "standing", "n", "bands", "sketch"), "cls"), "members")
     drop_stored(shared)
 
-    sketch = stored(linkable.join(involved, linkable["doc_id"] == involved["rep"]).groupBy("rep").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sketches")
-    sets = stored(_sets(docs.join(involved.hint("shuffle_hash"), docs["doc_id"] == involved["rep"]).select("rep", "text"), size).dropDuplicates(["rep"]), "sets")
+    # The class's smallest doc_id has its text, and maybe other texts.
+    texts = docs.join(involved.select(F.col("low").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    sets = stored(_sets(texts, size).join(involved.select(*key, "cls"), key).select("cls", "shingles").dropDuplicates(["cls"]), "sets")
 
-    # Documents with one id but several texts are one node: link their classes.
-    same = linkable.join(classes, key).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = None
-    group = members.select("rep").distinct().select("rep", F.col("rep").alias("component"))
+    # Rows of one doc_id with several texts are one document: link their classes.
+    texted = linkable.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).where("x <> y").select("doc_id")
+    several = linkable.select("doc_id", *key).join(texted, "doc_id", "left_semi").distinct().join(classes.select(*key, "cls"), key)
+    same = several.join(several.groupBy("doc_id").agg(F.min("cls").alias("a")), "doc_id").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    links = stored(same, "found")
+    group = parts = None
     for turn in range(PIVOT_TURNS + 1):
-        placed = members.join(group, "rep")
-        rank = F.struct("standing", -F.col("rep"))
+        placed = members.withColumn("component", F.col("cls")) if group is None else members.join(group, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         if turn < PIVOT_TURNS:
             # The pivot of a bucket: its first by standing, later turns by a hash.
-            order = rank if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"))
-            pivots = placed.groupBy("band").agg(F.max_by(F.struct("rep", "component", "standing"), order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-            pairs = placed.join(pivots, "band").where("rep <> p.rep AND component <> p.component")
+            order = F.struct("standing", -F.col("cls")) if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)), F.col("cls"))
+            pivot = F.struct("cls", "component", "standing", "n", "sketch")
+            pivots = placed.groupBy("band").agg(F.max_by(pivot, order).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+            pairs = placed.join(pivots, "band").where((F.col("cls") != F.col("p.cls")) & (F.col("component") != F.col("p.component"))).where(_near(percent, "sketch", "p.sketch", "n", "p.n"))
             if turn == 0:  # one pivot a class is enough to begin with
-                pairs = pairs.groupBy("rep").agg(F.max_by("p.rep", F.struct("p.standing", -F.col("p.rep"))).alias("pivot"))
+                pairs = pairs.groupBy("cls").agg(F.max_by("p.cls", F.struct("p.standing", -F.col("p.cls"))).alias("pivot"))
             else:
-                pairs = pairs.select("rep", F.col("p.rep").alias("pivot"))
+                pairs = pairs.select("cls", F.col("p.cls").alias("pivot")).distinct()
+            pairs = stored(pairs.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "near")
         else:
-            pairs = _near_pairs(placed, sketch, percent)
-        if turn < PIVOT_TURNS:
-            pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = stored(pairs, "pairs")
-        found = stored(_confirmed(pairs, sketch, sets, percent), "found")
-        links = found if links is None else links.union(found)
-        if turn < PIVOT_TURNS:
-            parts = components(links)
-            group = members.select("rep").distinct().join(parts, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
-            group = stored(group, "groups")
-    drop_stored(sets, sketch)
-    whole = components(links.union(same))
-    named = classes.join(whole, classes["rep"] == whole["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+            pairs = _near_pairs(placed, percent)
+        found = stored(links.union(_confirmed(pairs, sets, percent)), "found")
+        drop_stored(pairs, links, parts)
+        links = found
+        parts = components(links)
+        group = parts.select(F.col("node").alias("cls"), "component")
+    drop_stored(sets, members, links)
+    whole = classes.select(*key, "cls", "low").join(group, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    lowest = whole.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = stored(whole.join(lowest, "component").select(*key, "component_id"), "named")
+    drop_stored(classes, involved, parts)
     out = signed.join(named, key, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -144,6 +144,29 @@ def test_media_columns(docs, empty):
     assert flac.decode_media(flac.encode_media(empty)).count() == 0
 
 
+def test_seeking_and_long_streams(monkeypatch):
+    """Ranges of samples by the seek table, which decode their own frames only;
+    streams worked on a few frames at a time; linear predictors are in use."""
+    rng = np.random.default_rng(4)
+    wave = np.clip(np.cumsum(rng.normal(0, 3, 576 * 40)) % 160 + 40, 0, 255).astype("u1").tobytes()
+    tone = np.zeros(576 * 12)
+    for i in range(4, len(tone)):
+        tone[i] = 1.6 * tone[i - 1] - 1.3 * tone[i - 2] + 0.4 * tone[i - 3] - 0.2 * tone[i - 4] + rng.normal(0, 4)
+    tone = np.clip(np.rint(tone) + 128, 0, 255).astype("u1").tobytes()
+    text = flac.payload("some text of words " * 3000)
+    whole = flac.encode([wave, tone, text])
+    assert any(whole[1][flac._parse(whole[1])[2] + int(o) + 6] >> 1 >= 32 for o in flac._parse(whole[1])[3][:100])
+    monkeypatch.setattr(flac, "AT_ONCE", 576 * 5)
+    assert flac.encode([wave, tone, text]) == whole and flac.decode(whole) == [wave, tone, text]
+    frames = []
+    real = flac._decode_frames
+    monkeypatch.setattr(flac, "_decode_frames", lambda flat, start: frames.append(len(start)) or real(flat, start))
+    for first, n in ((0, 1), (575, 2), (576, 576), (5000, 3000), (576 * 40 - 1, 10), (576 * 40, 5)):
+        frames.clear()
+        assert flac.read_pcm(whole[0], first, n) == wave[first : first + n]
+        assert sum(frames) <= n // 576 + 2
+
+
 def _prose(rng, syllables, n):
     return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
