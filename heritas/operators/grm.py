@@ -1,13 +1,17 @@
 """Genomic relationship matrices: G = Z Z' over loci, by tiles.
 
 Each task multiplies the loci of its Arrow batches tile by tile (TILE samples
-to a side, lower triangle), keeps one running sum a tile while they fit
-HELD_TILES, and emits partial tiles; the sums of partial tiles meet by tile.
-No task or driver holds n x n numbers unless asked by to_matrix (size checked).
+to a side, lower triangle), and keeps one running sum a tile while they fit
+HELD_TILES; where a matrix has more tiles, the loci are dealt to as many groups of
+tiles as needed, so that each tile leaves a task once.  Partial tiles are added up
+as arrays: one row a tile and task is shuffled, never a row a cell.  No task or
+driver holds n x n numbers unless asked by tiles_to_matrix (size checked).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,44 +21,90 @@ from heritas.errors import InvalidArgument, SampleMismatch
 from heritas.functions.genotype import Method, effect, method, with_encoding
 
 TILE = 512
-#: Partial tiles a task holds before it emits them (512 tiles are 1 GiB).
+#: Tiles that a task holds at a time (128 tiles are 256 MiB).
 HELD_TILES = 128
 #: Samples up to which a matrix may come to the driver (2e4: 3.2 GB).
 DRIVER_SAMPLES = 20_000
 
 
-def tiles(loci: DataFrame, name: str | Method = "OSH", kind: str = "add", tile: int = TILE) -> DataFrame:
-    """bi, bj (bi >= bj), values: tiles of the unnormalised matrix, row-major."""
-    return tiles_of(with_encoding(loci, method(name), effect(kind)).select("z"), tile)
+def tiles(loci: DataFrame, name: str | Method = "OSH", kind: str = "add", tile: int = TILE, by: str | None = None, n: int | None = None) -> DataFrame:
+    """bi, bj (bi >= bj), values: tiles of the unnormalised matrix, row-major.
+    With `by`, a column of loci, there is a matrix for each of its values.  n: how
+    many samples there are; without it, tasks emit tiles when they hold too many."""
+    kept = loci if by is None else loci.withColumn("part", F.col(by).cast("string"))
+    return tiles_of(with_encoding(kept, method(name), effect(kind)).select("z", *(["part"] if by else [])), tile, n)
+
 
+def tiles_of(encoded: DataFrame, tile: int = TILE, n: int | None = None) -> DataFrame:
+    parted = "part" in encoded.columns
 
-def tiles_of(encoded: DataFrame, tile: int = TILE) -> DataFrame:
-    def run(batches):
-        held: dict[tuple[int, int], np.ndarray] = {}
+    def every(n: int) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(-(-n // tile)) for j in range(i + 1)]
 
-        def flush():
-            keys = list(held)
-            out = pa.RecordBatch.from_pydict({"bi": pa.array([k[0] for k in keys], pa.int32()), "bj": pa.array([k[1] for k in keys], pa.int32()), "values": pa.array([held[k].ravel() for k in keys], pa.list_(pa.float64()))})
-            held.clear()
-            return out
+    known = every(n or 0)
+    groups = [known[k : k + HELD_TILES] for k in range(0, len(known), HELD_TILES)]
+    rows = encoded.select("z", F.col("part") if parted else F.lit("").alias("part"))
+    if len(groups) > 1:  # the tiles of a group are held by the tasks that get it
+        rows = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
+        rows = rows.repartition(len(groups) * max(1, rows.sparkSession.sparkContext.defaultParallelism // len(groups)), "group", F.pmod(F.hash("z"), F.lit(8)))
+    else:
+        rows = rows.withColumn("group", F.lit(0))
 
+    def multiply(batches):
+        held: dict[tuple[str, int, int], np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             z = b.column(0).values.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            for i in range(0, z.shape[1], tile):
-                for j in range(0, i + 1, tile):
-                    key = (i // tile, j // tile)
-                    part = z[:, i : i + tile].T @ z[:, j : j + tile]
-                    held[key] = held[key] + part if key in held else part
-                    if len(held) >= HELD_TILES:
-                        yield flush()
+            part, group = np.array(b.column(1).to_pylist(), object), b.column(2).to_numpy()
+            for p, g in sorted(set(zip(part.tolist(), group.tolist()))):
+                own = z[(part == p) & (group == g)]
+                for i, j in groups[g] if groups else every(z.shape[1]):
+                    sum_ = own[:, i * tile : (i + 1) * tile].T @ own[:, j * tile : (j + 1) * tile]
+                    key = (p, i, j)
+                    if key in held:
+                        held[key] += sum_
+                    else:
+                        held[key] = sum_
+            if len(held) > 2 * HELD_TILES:  # several groups or parts met here
+                yield _tile_batch(held)
+                held = {}
         if held:
-            yield flush()
+            yield _tile_batch(held)
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for v in b.column("values"):
+                x = np.frombuffer(v.as_buffer(), "<f8")
+                total = x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int32()))] + [pa.array([total.tolist()], pa.list_(pa.float64()))], names=["part", "bi", "bj", "values"])
+
+    parts = rows.mapInArrow(multiply, "part string, bi int, bj int, values binary")
+    out = parts.groupBy("part", "bi", "bj").applyInArrow(add, "part string, bi int, bj int, values array<double>")
+    return out if parted else out.drop("part")
+
+
+def sum_tiles(tiled: DataFrame) -> DataFrame:
+    """bi, bj, values: the sums of tables of tiles, a tile a row."""
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for v in b.column("values"):
+                x = v.values.to_numpy(zero_copy_only=False)
+                total = x.copy() if total is None else total + x
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([total.tolist()], pa.list_(pa.float64()))], names=["bi", "bj", "values"])
 
-    parts = encoded.select("z").mapInArrow(run, "bi int, bj int, values array<double>")
-    cells = parts.select("bi", "bj", F.posexplode("values").alias("at", "v")).groupBy("bi", "bj", "at").agg(F.sum("v").alias("v"))
-    return cells.groupBy("bi", "bj").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("values"))
+    return tiled.groupBy("bi", "bj").applyInArrow(add, "bi int, bj int, values array<double>")
+
+
+def _tile_batch(held: dict[tuple[str, int, int], np.ndarray]) -> pa.RecordBatch:
+    keys = list(held)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([np.ascontiguousarray(held[k], "<f8").tobytes() for k in keys], pa.binary())],
+        names=["part", "bi", "bj", "values"],
+    )
 
 
 def cells(tiled: DataFrame, n: int, tile: int = TILE) -> DataFrame:
@@ -79,7 +129,7 @@ def normaliser(grm: DataFrame) -> DataFrame:
 
 
 def normalised(grm: DataFrame) -> DataFrame:
-    return grm.crossJoin(F.broadcast(normaliser(grm))).select("i", "j", (F.col("value") / F.col("k")).alias("value"))
+    return grm.withColumn("_k", normaliser(grm).scalar()).select("i", "j", (F.col("value") / F.col("_k")).alias("value"))
 
 
 def subset(grm: DataFrame, samples: DataFrame, check: bool = True) -> DataFrame:
@@ -95,15 +145,76 @@ def subset(grm: DataFrame, samples: DataFrame, check: bool = True) -> DataFrame:
 
 def loco(whole: DataFrame, part: DataFrame) -> DataFrame:
     """(G - Gi) / (k - ki) of unnormalised matrices over the same samples."""
-    k = normaliser(whole).crossJoin(normaliser(part).withColumnRenamed("k", "ki"))
-    both = whole.join(part.withColumnRenamed("value", "own"), ["i", "j"]).crossJoin(F.broadcast(k))
-    rest = F.col("k") - F.col("ki")
+    both = whole.join(part.withColumnRenamed("value", "own"), ["i", "j"])
+    return _rest(both.withColumn("_k", normaliser(whole).scalar()).withColumn("_ki", normaliser(part).scalar()))
+
+
+def _rest(both: DataFrame) -> DataFrame:
+    rest = F.col("_k") - F.col("_ki")
     value = F.when(rest > 0, (F.col("value") - F.col("own")) / rest).otherwise(F.raise_error(F.lit("a chromosome holds all of the matrix")).cast("double"))
     return both.select("i", "j", value.alias("value"))
 
 
+def loco_tiles(parted: DataFrame, chrom: str) -> DataFrame:
+    """bi, bj, values of the whole matrix, and `own`, those of one chromosome, from
+    the tiles of all chromosomes (tiles with `by`): one pass over the loci gives
+    both, and no cell is joined."""
+    mine = F.when(F.col("part") == chrom, F.col("values"))
+    all_ = parted.groupBy("bi", "bj").agg(F.collect_list("values").alias("all"), F.first(mine, ignorenulls=True).alias("own"))
+    total = F.expr("transform(all[0], (x, i) -> aggregate(transform(all, v -> v[i]), 0D, (s, v) -> s + v))")
+    return all_.select("bi", "bj", total.alias("values"), F.coalesce("own", F.transform(F.col("all")[0], lambda x: F.lit(0.0))).alias("own"))
+
+
+def loco_of(parted: DataFrame, chrom: str, n: int, tile: int = TILE) -> DataFrame:
+    """i, j, value: the matrix without a chromosome, from loco_tiles."""
+    width = F.least(F.lit(tile), F.lit(n) - F.col("bj") * tile)
+    both = loco_tiles(parted, chrom)
+    flat = both.select("bi", "bj", width.alias("w"), F.posexplode(F.arrays_zip("values", "own")).alias("at", "c"))
+    rows = flat.select((F.col("bi") * tile + F.floor(F.col("at") / F.col("w"))).cast("long").alias("i"), (F.col("bj") * tile + F.pmod("at", "w")).cast("long").alias("j"), F.col("c.values").alias("value"), F.col("c.own").alias("own")).where("i >= j")
+    # The diagonal lies in the tiles with bi = bj: place w * r + r.
+    diagonal = "aggregate(sequence(0, CAST(sqrt(size({x})) AS int) - 1), 0D, (s, r) -> s + {x}[r * CAST(sqrt(size({x})) AS int) + r])"
+    trace = both.where("bi = bj").agg(*[(F.sum(F.expr(diagonal.format(x=x))) / n).alias(k) for x, k in (("values", "k"), ("own", "ki"))])
+    return _rest(rows.withColumn("_k", trace.select("k").scalar()).withColumn("_ki", trace.select("ki").scalar()))
+
+
+def tiles_to_matrix(tiled: DataFrame, n: int, tile: int = TILE) -> np.ndarray:
+    """The symmetric matrix on the driver, tile by tile."""
+    if n > DRIVER_SAMPLES:
+        raise InvalidArgument(f"{n} samples are too many for the driver (limit {DRIVER_SAMPLES})")
+    out = np.zeros((n, n))
+    for bi, bj, x in _driver_tiles(tiled, ["bi", "bj"]):
+        _place(out, bi, bj, x, tile)
+    return out
+
+
+def parts_to_matrices(parted: DataFrame, n: int, tile: int = TILE) -> dict[str, np.ndarray]:
+    """The symmetric matrix of each part, on the driver."""
+    if n > DRIVER_SAMPLES:
+        raise InvalidArgument(f"{n} samples are too many for the driver (limit {DRIVER_SAMPLES})")
+    out: dict[str, np.ndarray] = {}
+    for part, bi, bj, x in _driver_tiles(parted, ["part", "bi", "bj"]):
+        _place(out.setdefault(part, np.zeros((n, n))), bi, bj, x, tile)
+    return out
+
+
+def _driver_tiles(tiled: DataFrame, key: list[str]):
+    table = tiled.select(*key, "values").toArrow()
+    for b in table.to_batches():
+        at, flat = b.column(len(key)).offsets.to_numpy(), b.column(len(key)).values.to_numpy(zero_copy_only=False)
+        for r, k in enumerate(zip(*[b.column(i).to_pylist() for i in range(len(key))])):
+            yield *k, flat[at[r] : at[r + 1]]
+
+
+def _place(out: np.ndarray, bi: int, bj: int, x: np.ndarray, tile: int) -> None:
+    wide = min(tile, len(out) - bj * tile)
+    x = x.reshape(-1, wide)
+    out[bi * tile : bi * tile + len(x), bj * tile : bj * tile + wide] = x
+    out[bj * tile : bj * tile + wide, bi * tile : bi * tile + len(x)] = x.T
+
+
 def to_matrix(grm: DataFrame, n: int) -> np.ndarray:
-    """The symmetric matrix on the driver."""
+    """The symmetric matrix on the driver, from cells i, j, value (tiles_to_matrix
+    is the cheaper way from tiles)."""
     if n > DRIVER_SAMPLES:
         raise InvalidArgument(f"{n} samples are too many for the driver (limit {DRIVER_SAMPLES})")
     rows = grm.select("i", "j", "value").toPandas()

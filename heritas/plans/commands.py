@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import logging
 import os
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,6 @@ from heritas.operators import assoc, bayes, design, diagnose, grm, loci, predict
 from heritas.sources import binary, tables
 from heritas.sources.plink import bed_path, read_bed, read_bim, read_fam
 
-log = logging.getLogger(__name__)
-
 
 def _stem(bfile: str) -> str:
     return bed_path(bfile).removesuffix(".bed")
@@ -87,16 +85,26 @@ def run_grm(spark: SparkSession, bfile: str, out: str = "grm", geno_method: str
     kinds = [k for k, on in zip(EFFECTS, (add, dom)) if on] or ["add"]
     ids, keep = _targets(spark, bfile)
     rows, written = _genotypes(spark, bfile, keep), []
-    runs = [(None, None)]
-    if by_chromosome:
-        runs += [(r["chrom"], r) for r in loci.loco_groups(read_bim(spark, _stem(bfile) + ".bim")).collect()]
+    by = "chrom" if by_chromosome else None
+    if by:
+        rows = rows.join(F.broadcast(read_bim(spark, _stem(bfile) + ".bim").select("snp_idx", "chrom")), "snp_idx")
     for kind in kinds:
-        for chrom, r in runs:
-            own = rows if r is None else rows.where((F.col("snp_idx") >= r["first_snp"]) & (F.col("snp_idx") < r["end_snp"]))
-            cells = grm.cells(grm.tiles(own, method(geno_method), kind), len(ids))
-            prefix = f"{out}.{kind}" + (f".chr{chrom}" if chrom else "")
-            binary.write_grm(prefix, grm.to_matrix(cells, len(ids)), ids)
-            written.append(prefix)
+        found = grm.tiles(rows, method(geno_method), kind, by=by, n=len(ids))
+        if not by:
+            binary.write_grm(f"{out}.{kind}", grm.tiles_to_matrix(found, len(ids)), ids)
+            written.append(f"{out}.{kind}")
+            continue
+        # One pass over the loci; then a chromosome's tiles at a time come here.
+        found, whole, own = found.persist(StorageLevel.DISK_ONLY), None, []
+        for r in loci.loco_groups(read_bim(spark, _stem(bfile) + ".bim")).collect():
+            part = grm.tiles_to_matrix(found.where(F.col("part") == r["chrom"]), len(ids))
+            whole = part.copy() if whole is None else whole + part
+            own.append(f"{out}.{kind}.chr{r['chrom']}")
+            binary.write_grm(own[-1], part, ids)
+        found.unpersist()
+        if whole is not None:
+            binary.write_grm(f"{out}.{kind}", whole, ids)
+            written += [f"{out}.{kind}", *own]
     return written
 
 
@@ -120,8 +128,7 @@ def run_assoc(spark: SparkSession, pheno: str, bfile: str, grms: list[str], out:
         kernels = {k: binary.load_grm(g, data.ids) for k, g in named.items()}
         found, null = assoc.association(rows, reml.Model(data.y, data.x, kernels), geno_method, kind, max_iter, tol)
         fits = {"all": null}
-    for name, f in fits.items():
-        log.info("%s: %s h2 %s logL %.4f AIC %.4f BIC %.4f", name, f.rows(), f.heritability, f.log_likelihood, f.aic, f.bic)
+    tables.write_report(reml.loco_report(spark, fits) if loco else reml.report(spark, fits["all"], data.terms), out + ".reml.tsv")
     tables.write_gwas(found, variants, out + ".gwas.tsv")
     return found
 
@@ -139,9 +146,9 @@ def run_fit(spark: SparkSession, pheno: str, bfile: str, model: str, out: str =
     got = bayes.run_chains(spark, data.y, data.x, z, model, chains, seed, iterations=iterations, burn_in=burn_in, thin=thin, **priors).persist()
     summary = {r["param"]: (r["mean"], r["stddev"]) for r in diagnose.posterior_summary(bayes.draws(got)).collect()}
     terms = [(t, *summary[f"beta[{j}]"]) for j, t in enumerate(data.terms)] + [(f"{c}_{v}", 0.0, 0.0) for c, v in data.reference]
-    tables.write_params(terms, out + ".params")
+    tables.write_params([*terms, *tables.genetic_terms(summary, list(z))], out + ".params")
     freq = with_encoding(rows, geno_method, "add").select("snp_idx", "a1_freq")
-    tables.write_effects(bayes.effects(got, float(data.y.var(ddof=1))), read_bim(spark, _stem(bfile) + ".bim"), freq, out + ".snp.eff")
+    tables.write_effects(bayes.effects(got, float(data.y.var(ddof=1)), bayes.component_count(model, priors.get("scales"))), read_bim(spark, _stem(bfile) + ".bim"), freq, out + ".snp.eff")
     names = ["sigma_e", "sigma_add", "h2_add"] + ["sigma_dom", "h2_dom"] * spec.dominance
     for c in range(chains):
         wide = bayes.draws(got).where((F.col("chain") == c) & F.col("param").isin(names)).groupBy("draw").pivot("param", names).agg(F.first("value")).orderBy("draw").toPandas()

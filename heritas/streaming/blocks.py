@@ -30,8 +30,7 @@ def stream_grm(spark: SparkSession, folder: str, out: str, checkpoint: str, name
 
 def read_tiles(spark: SparkSession, out: str) -> DataFrame:
     """bi, bj, values: the sums of all batches' tiles."""
-    cells = spark.read.parquet(out).select("bi", "bj", F.posexplode("values").alias("at", "v")).groupBy("bi", "bj", "at").agg(F.sum("v").alias("v"))
-    return cells.groupBy("bi", "bj").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda c: c["v"]).alias("values"))
+    return grm.sum_tiles(spark.read.parquet(out).select("bi", "bj", "values"))
 
 
 def stream_moments(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -48,11 +47,14 @@ def read_moments(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_diagnostics(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """After each batch of draws: the diagnostics of all draws so far."""
-    schema = "chain int, draw long, param string, value double"
-    draws = spark.readStream.schema(schema).parquet(folder)
+    """After each batch of draws: the diagnostics of the draws of this batch and
+    the batches before it, which are kept beside the results, so that a batch that
+    is run again gives the same."""
+    draws = spark.readStream.schema("chain int, draw long, param string, value double").parquet(folder)
 
     def batch(df: DataFrame, at: int) -> None:
-        diagnose.summary(spark.read.schema(schema).parquet(folder)).write.mode("overwrite").parquet(f"{out}/batch={at}")
+        df.write.mode("overwrite").parquet(f"{out}.draws/batch={at}")
+        kept = spark.read.parquet(f"{out}.draws").where(F.col("batch") <= at).drop("batch")
+        diagnose.summary(kept).write.mode("overwrite").parquet(f"{out}/batch={at}")
 
     return draws.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
