@@ -23,6 +23,14 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--qcovar", default="")
         p.add_argument("--dcovar", default="")
 
+    def work(p, *more):
+        """Options of the one-machine world: Spark's settings decide instead, where
+        they say something."""
+        p.add_argument("-c", "--chunk-size", type=int, default=None, help="loci of a partition")
+        p.add_argument("-t", "--threads", type=int, default=None, help="tasks at a time: local[N] where no master is set")
+        for name in more:
+            p.add_argument(name, action="store_true", help="no effect: tasks read their own ranges of files")
+
     pheno, bfile = (("-p", "--pheno"), "pheno"), (("-b", "--bfile"), "bfile")
     p = command("fit", pheno, bfile, (("-m", "--method"), "model"))
     data(p)
@@ -35,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--thin", type=int, default=1)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--chains", type=int, default=1)
+    work(p, "--mmap")
 
     p = command("assoc", pheno, bfile)
     p.add_argument("--grm", nargs="+", required=True)
@@ -47,12 +56,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--geno-method", default="OCH")
     p.add_argument("--transform", default="none")
     p.add_argument("--int-offset", type=float, default=0.375)
+    work(p)
 
     p = command("grm", bfile)
     p.add_argument("-o", "--out", default="grm")
     p.add_argument("--geno-method", default="OSH")
     for name in ("add", "dom", "loco"):
         p.add_argument(f"--{name}", action="store_true")
+    work(p)
 
     p = command("predict", bfile, (("-e", "--snp-eff"), "snp_eff"), (("-o", "--out"), "out"))
     p.add_argument("--covar-eff", default="")
@@ -99,8 +110,14 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
+    session = SparkSession.builder.appName("heritas")
+    if getattr(args, "threads", None):
+        session = session.master(f"local[{args.threads}]")
     try:
-        run(args, SparkSession.builder.appName("heritas").getOrCreate())
+        spark = session.getOrCreate()
+        if getattr(args, "chunk_size", None):
+            spark.conf.set("heritas.bed.partitionLoci", str(args.chunk_size))
+        run(args, spark)
     except EngineError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1

@@ -30,6 +30,7 @@ class Method:
     scale: bool
 
 
+#: Names of the methods.
 METHODS = {
     m.name: m
     for m in (

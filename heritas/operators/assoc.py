@@ -1,8 +1,7 @@
 """Association scans: Wald tests of every locus under a fitted null model.
 
 The null model is fitted once; V^-1 and V^-1 (y - X beta) go to the tasks as
-one broadcast (as large as the null model itself, whose samples are bounded by
-grm.DRIVER_SAMPLES), and every partition of loci is encoded and tested where it
+one broadcast of checked size (MAX_BYTES: 11,585 samples), and every partition of loci is encoded and tested where it
 lies: no shuffle.
 """
 
@@ -15,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heritas.errors import DataError, InvalidArgument
 from heritas.functions.genotype import Method, center_method, with_encoding
 from heritas.operators.reml import Fit, Model, fit
 
+#: Bytes of V^-1 that may be broadcast: a task's Python worker holds it.
+MAX_BYTES = 1 << 30
 RESULT = "snp_idx long, a1_freq double, beta double, se double, p double"
 
 
@@ -36,6 +38,8 @@ def wald(z: np.ndarray, v_inverse: np.ndarray | float, vr: np.ndarray) -> tuple[
 def scan(loci: DataFrame, v_inverse: np.ndarray | float, vr: np.ndarray, name: str | Method = "OCH", kind: str = "add", checked: bool = True) -> DataFrame:
     """snp_idx, a1_freq, beta, se, p (NULL for monomorphic loci)."""
     m = center_method(name) if checked else name
+    if getattr(v_inverse, "nbytes", 0) > MAX_BYTES:
+        raise InvalidArgument(f"V^-1 takes {v_inverse.nbytes} bytes; a task holds {MAX_BYTES}")
     shared = loci.sparkSession.sparkContext.broadcast((v_inverse, vr))
 
     def run(batches):
@@ -63,8 +67,6 @@ def association(loci: DataFrame, model: Model, name: str | Method = "OCH", kind:
 def loco_association(loci: DataFrame, y: np.ndarray, x: np.ndarray, whole: dict[str, np.ndarray], parts: dict[str, dict[str, np.ndarray]], name: str | Method = "OCH", kind: str = "add", max_iter: int = 100, tol: float = 1e-6) -> tuple[DataFrame, dict[str, Fit]]:
     """loci carry `chrom`.  whole, parts[chrom]: unnormalised matrices by effect.
     Every chromosome has a null model of its own, from a cold start."""
-    from heritas.errors import DataError
-
     out, fits = None, {}
     for chrom, own in parts.items():
         kernels = {}

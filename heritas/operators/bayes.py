@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heritas.errors import InvalidArgument
 
@@ -25,8 +26,9 @@ MIXTURE_SCALES = (0.0, 0.001, 0.01, 0.1, 1.0)
 #: Shares of the phenotypic variance with which chains begin, and prior weights.
 SHARE = {"add": 0.5, "dom": 0.2, "residual": 0.3}
 NU_MARKER, NU_RESIDUAL = 4.0, -2.0
-#: Bytes of encoded loci that may be broadcast to a chain's task.
-MAX_BYTES = 4 << 30
+#: Bytes of encoded loci that may be broadcast to a chain's task: they have to fit
+#: into a Python worker beside an executor's heap.
+MAX_BYTES = 1 << 30
 
 
 @dataclass
@@ -255,15 +257,34 @@ def draws(result: DataFrame) -> DataFrame:
     return result.where("kind = 'draw'").select("chain", "draw", "param", "value")
 
 
-def effects(result: DataFrame, var_y: float) -> DataFrame:
-    """snp_idx, effect, mean, sd, pve, pip over all chains; models without
-    classes have pip 1."""
-    from pyspark.sql import functions as F
+def component_count(model: str, scales: list[float] | None = None) -> int:
+    """Classes of a model's marker effects; 0 where it has none."""
+    kind = Spec.of(model).kind
+    return len(scales or MIXTURE_SCALES) if kind == "R" else 2 if kind in ("B", "C") else 0
+
+
+def explained(effect: Column, var_y: Column) -> Column:
+    """Share of the phenotype's variance that a locus explains."""
+    return effect * effect / var_y
+
 
+def class_shares(draws: DataFrame, by: list[str], cls: str, classes: int) -> DataFrame:
+    """by, p0, p1, ...: shares of draws in each class, and pip, that of classes
+    but 0."""
+    share = [F.avg((F.col(cls) == k).cast("double")).alias(f"p{k}") for k in range(classes)]
+    return draws.groupBy(*by).agg(*share, F.avg((F.col(cls) > 0).cast("double")).alias("pip"))
+
+
+def effects(result: DataFrame, var_y: float, classes: int = 0) -> DataFrame:
+    """snp_idx, effect, mean, sd, pve, pip over all chains; models without
+    classes have pip 1.  For models of more than two classes (component_count),
+    there are pi_0, pi_1, ..., the shares of draws in each class, too."""
+    more = range(classes) if classes > 2 else []
     loci = result.where("kind <> 'draw'")
     one = loci.groupBy("snp_idx", "effect").agg(
         F.avg(F.when(F.col("kind") == "mean", F.col("value"))).alias("mean"),
         F.sqrt(F.avg(F.when(F.col("kind") == "sd", F.col("value") * F.col("value"))) + F.coalesce(F.var_pop(F.when(F.col("kind") == "mean", F.col("value"))), F.lit(0.0))).alias("sd"),
         F.avg(F.when(F.col("kind") == "class[0]", F.col("value"))).alias("out"),
+        *[F.avg(F.when(F.col("kind") == f"class[{k}]", F.col("value"))).alias(f"pi_{k}") for k in more],
     )
-    return one.select("snp_idx", "effect", "mean", "sd", (F.col("mean") * F.col("mean") / F.lit(float(var_y))).alias("pve"), (1 - F.coalesce("out", F.lit(0.0))).alias("pip"))
+    return one.select("snp_idx", "effect", "mean", "sd", explained(F.col("mean"), F.lit(float(var_y))).alias("pve"), (1 - F.coalesce("out", F.lit(0.0))).alias("pip"), *[f"pi_{k}" for k in more])

@@ -82,8 +82,7 @@ def average_rank(df: DataFrame, value: str = "y", out: str = "rank") -> DataFram
 
 
 def _to_normal(df: DataFrame, value: str, out: str, offset: float) -> DataFrame:
-    n = df.select(F.count(value).alias("_total"))
-    ranked = average_rank(df, value, "_rank").crossJoin(F.broadcast(n))
+    ranked = average_rank(df, value, "_rank").withColumn("_total", df.select(F.count(value)).scalar())
     p = (F.col("_rank") - offset) / (F.col("_total") - 2 * offset + 1)
     p = F.least(F.greatest(p, F.lit(1e-10)), F.lit(1 - 1e-10))
     return ranked.withColumn(out, norm_inv(p)).drop("_rank", "_total")
@@ -113,7 +112,8 @@ def residuals(df: DataFrame, value: str, covariates: list[str], out: str = "resi
     return df.withColumn(out, F.col(value) - fit)
 
 
-def indirect_int(df: DataFrame, value: str, covariates: list[str], out: str = "y_int", offset: float = 0.375) -> DataFrame:
-    """Inverse normal transform of the residuals; the model that follows has an
-    intercept only."""
-    return _to_normal(residuals(df, value, covariates, "_residual"), "_residual", out, offset).drop("_residual")
+def indirect_int(df: DataFrame, value: str, covariates: list[str], out: str = "y_int", offset: float = 0.375, digits: int = 9) -> DataFrame:
+    """Inverse normal transform of the residuals, rounded so that equal ones tie;
+    the model that follows has an intercept only."""
+    rounded = residuals(df, value, covariates, "_residual").withColumn("_residual", F.round("_residual", digits))
+    return _to_normal(rounded, "_residual", out, offset).drop("_residual")

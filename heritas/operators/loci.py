@@ -15,9 +15,9 @@ def chromosome_islands(variants: DataFrame) -> DataFrame:
     snp, chrom = F.col("snp_idx"), F.col("chrom")
     before = variants.select((snp + 1).alias("snp_idx"), chrom.alias("_before"))
     heads = variants.join(before, "snp_idx", "left").where(F.col("_before").isNull() | (F.col("_before") != chrom)).select("chrom", F.col("snp_idx").alias("first_snp"))
-    end = variants.agg((F.max("snp_idx") + 1).alias("_end"))
+    end = variants.agg((F.max("snp_idx") + 1).alias("_end")).scalar()
     order = Window.orderBy("first_snp")
-    runs = heads.crossJoin(F.broadcast(end)).select((F.row_number().over(order) - 1).alias("island"), "chrom", "first_snp", F.coalesce(F.lead("first_snp").over(order), "_end").alias("end_snp"))
+    runs = heads.withColumn("_end", end).select((F.row_number().over(order) - 1).alias("island"), "chrom", "first_snp", F.coalesce(F.lead("first_snp").over(order), "_end").alias("end_snp"))
     return runs.withColumn("n_snps", F.col("end_snp") - F.col("first_snp"))
 
 

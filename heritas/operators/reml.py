@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 
 from heritas.errors import NumericalError
 
@@ -65,8 +66,7 @@ def _inverse(a: np.ndarray, what: str) -> tuple[np.ndarray, float]:
         low = np.linalg.cholesky(a)
     except np.linalg.LinAlgError as e:
         raise NumericalError(f"{what} isn't positive definite") from e
-    inv_low = np.linalg.solve(low, np.eye(len(a)))
-    return inv_low.T @ inv_low, 2 * float(np.log(np.diag(low)).sum())
+    return np.linalg.inv(a), 2 * float(np.log(np.diag(low)).sum())
 
 
 @dataclass
@@ -85,6 +85,7 @@ def evaluate(model: Model, sigma: np.ndarray) -> Point:
     for s, k in zip(sigma[1:], model.kernels):
         v = v + s * k
     vi, logdet_v = _inverse(v, "V")
+    vi = (vi + vi.T) / 2
     vx = vi @ model.x
     xvx, logdet_x = _inverse(model.x.T @ vx, "X'V^-1X")
     p = vi - vx @ xvx @ vx.T
@@ -130,6 +131,40 @@ def constrain(sigma: np.ndarray, variance: float) -> tuple[np.ndarray, bool]:
     return out, True
 
 
+def heritability(names: list[str], sigma: np.ndarray, genetic: list[str]) -> dict[str, float]:
+    """Each genetic component's share of the variance, without standard errors."""
+    total = float(np.sum(sigma))
+    return {n: float(s) / total for n, s in zip(names, sigma) if n in genetic} if total else {}
+
+
+def report(spark: SparkSession, found: Fit, terms: list[str]) -> DataFrame:
+    """section (fit, fixed, variance, heritability), name, estimate, se: what a fit
+    has to say."""
+    rows = [("fit", n, float(v), None) for n, v in (("logL", found.log_likelihood), ("AIC", found.aic), ("BIC", found.bic), ("iterations", found.iterations), ("converged", found.converged))]
+    rows += [("fixed", t, float(b), float(e)) for t, b, e in zip(terms, found.beta, found.beta_se)]
+    rows += [("variance", n, s, e) for n, s, e in found.rows()]
+    rows += [("heritability", n, h, e) for n, (h, e) in found.heritability.items()]
+    if len(found.heritability) > 1:
+        kept = dict(zip(found.names, found.sigma))
+        rows += [("variance", "total genetic", float(sum(kept[n] for n in found.heritability)), None), ("heritability", "total", sum(h for h, _ in found.heritability.values()), None)]
+    return spark.createDataFrame(rows, "section string, name string, estimate double, se double")
+
+
+def loco_report(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
+    """chrom, log_likelihood, component, variance, heritability, converged of every
+    chromosome's null model, and the means over chromosomes (chrom `mean`)."""
+    rows, all_ = [], {}
+    for chrom, f in fits.items():
+        for n, s in zip(f.names, f.sigma):
+            h = f.heritability.get(n, (None,))[0]
+            rows.append((chrom, float(f.log_likelihood), n, float(s), h, bool(f.converged)))
+            all_.setdefault(n, []).append((float(s), h))
+    for n, own in all_.items():
+        shares = [h for _, h in own if h is not None]
+        rows.append(("mean", None, n, sum(s for s, _ in own) / len(own), sum(shares) / len(shares) if shares else None, None))
+    return spark.createDataFrame(rows, "chrom string, log_likelihood double, component string, variance double, heritability double, converged boolean")
+
+
 def fit(model: Model, max_iter: int = 100, tol: float = 1e-6) -> Fit:
     sigma, var_y = initial(model), float(model.y.var(ddof=1))
     at, before, done, warnings, turn = None, None, False, [], 0

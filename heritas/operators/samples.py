@@ -58,7 +58,7 @@ def excluded_count(tables: list[DataFrame]) -> DataFrame:
     sizes = [unique_ids(t).agg(F.count("*").alias("n")) for t in tables]
     most = reduce(lambda a, b: a.union(b), sizes).agg(F.max("n").alias("most"))
     common = intersect(*tables).agg(F.count("*").alias("common"))
-    return most.crossJoin(common).select("most", "common", (F.col("most") - F.col("common")).alias("excluded"))
+    return most.withColumn("common", common.scalar()).select("most", "common", (F.col("most") - F.col("common")).alias("excluded"))
 
 
 def reindex(samples: DataFrame, table: DataFrame) -> DataFrame:

@@ -6,13 +6,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heritas.errors import InvalidArgument
 from heritas.functions.genotype import with_encoding
 
 
+def uniform(seed: int, key: Column, stream: int) -> Column:
+    """A number between 0 and 1 that key, seed and stream decide (52 bits of their
+    MD5), so a task that runs again, or another engine, draws the same."""
+    text = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(stream))))
+    return (F.conv(F.substring(text, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def normal(seed: int, key: Column, stream: int) -> Column:
+    """A standard normal draw from two uniform ones."""
+    return F.sqrt(-2 * F.log(uniform(seed, key, stream))) * F.cos(2 * np.pi * uniform(seed, key, stream + 1))
+
+
 def check_classes(classes: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """(proportion, variance) of effect classes."""
     if not classes:
@@ -40,7 +52,7 @@ def assign_classes(loci: DataFrame, classes: list[tuple[float, float]], order=No
     from pyspark.sql import Window
 
     n = loci.count()
-    place = F.row_number().over(Window.orderBy(order if order is not None else F.xxhash64("snp_idx", F.lit(seed))))
+    place = F.row_number().over(Window.orderBy(order if order is not None else uniform(seed, F.col("snp_idx"), 0)))
     one = loci.withColumn("_place", place)
     value = F.lit(len(classes) - 1)
     for k, end in reversed(list(enumerate(class_bounds(n, classes)[:-1]))):
@@ -52,10 +64,7 @@ def draw_effects(loci: DataFrame, classes: list[tuple[float, float]], seed: int,
     sd = F.lit(0.0)
     for k, (_, v) in enumerate(classes):
         sd = F.when(F.col(column) == k, float(np.sqrt(v))).otherwise(sd)
-    # A hash of the locus decides, so a retried task draws the same effects.
-    u = [(F.pmod(F.xxhash64("snp_idx", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (1, 2)]
-    normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1])
-    return loci.withColumn(out, F.when(sd > 0, normal * sd).otherwise(0.0))
+    return loci.withColumn(out, F.when(sd > 0, normal(seed, F.col("snp_idx"), 1) * sd).otherwise(0.0))
 
 
 def genetic_values(loci: DataFrame, n: int, kind: str = "add", effect: str = "effect") -> DataFrame:
@@ -107,8 +116,7 @@ def simulate(loci: DataFrame, n: int, h2: float = 0.5, d2: float = 0.0, add_clas
     v = both.agg(F.var_samp("a").alias("a"), F.var_samp("d").alias("d")).first()
     scale = dominance_scale(v["a"], v["d"], h2, d2)
     sd = float(np.sqrt(residual_variance(v["a"], h2, d2)))
-    u = [(F.pmod(F.xxhash64("sample_idx", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in (3, 4)]
-    noise = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * np.pi * u[1]) * sd
+    noise = normal(seed, F.col("sample_idx"), 3) * sd
     parts = both.withColumn("d", F.col("d") * scale).withColumn("e", noise)
     pheno = parts.withColumn("phenotype", F.col("a") + F.col("d") + F.col("e") + intercept)
     r = pheno.agg(F.var_samp("a").alias("a"), F.var_samp("d").alias("d"), F.var_samp("phenotype").alias("y")).first()

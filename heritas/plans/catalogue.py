@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heritas.functions import genotype as gt
 from heritas.functions.normal import CENTRAL, TAIL
-from heritas.operators import assoc, bayes, design, diagnose, grm, loci, predict, reml, samples, simulate
+from heritas.operators import assoc, bayes, design, diagnose, grm, loci, moments, predict, reml, samples, simulate
 from heritas.plans import proxies as px
 
 QUERIES: dict = {}
@@ -224,20 +224,29 @@ def phenotype_dint(spark, sf):
  e AS (SELECT fid, iid, round(v - a - b * x, 6) AS y FROM d, f), k AS (SELECT fid, iid, ({_RANK} - 0.375::DOUBLE) / (count(*) OVER () - 0.75::DOUBLE + 1) AS p FROM e) SELECT fid, iid, {s6(norm_inv_sql('p'), 'y_int')} FROM k""")
 def phenotype_iint(spark, sf):
     rows = px.samples(spark, sf).join(px.covariates(spark, sf), ["fid", "iid"])
-    res = design.residuals(rows, "y", ["n_orders"]).withColumn("residual", F.round("residual", 6))
-    return design.direct_int(res, "residual").select("fid", "iid", r6("y_int", "y_int"))
+    return design.indirect_int(rows, "y", ["n_orders"], digits=6).select("fid", "iid", r6("y_int", "y_int"))
 
 
 # ---- relationship matrices ------------------------------------------------
 
-_PAIRS = "g2 AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS v FROM enc a JOIN enc b ON a.j = b.j AND a.i >= b.i GROUP BY 1, 2)"
+# Every sample's encoded loci as one list: a pair's value is a product of lists.
+_LISTS = "rows_ AS MATERIALIZED (SELECT i, list(z ORDER BY j) AS l FROM enc GROUP BY i)"
+_PAIRS = f"{_LISTS}, g2 AS (SELECT a.i, b.i AS j, list_dot_product(a.l, b.l) AS v FROM rows_ a JOIN rows_ b ON a.i >= b.i)"
 
 
-def _matrix(spark, sf, kind="add", where=None, method="OSH") -> DataFrame:
+def _tiles(spark, sf, kind="add", method="OSH", by=None) -> DataFrame:
+    return grm.tiles(px.loci(spark, sf), method, kind, by=by)
+
+
+def _matrix(spark, sf, kind="add", method="OSH") -> DataFrame:
     """i, j, value over all samples, by tiles."""
-    rows = px.loci(spark, sf)
-    n = px.table(spark, sf, "embeddings").count()
-    return grm.cells(grm.tiles(rows.where(where) if where is not None else rows, method, kind), n)
+    return grm.cells(_tiles(spark, sf, kind, method), px.table(spark, sf, "embeddings").count())
+
+
+def _parts(spark, sf) -> DataFrame:
+    """Tiles of each chromosome, by one pass over the loci."""
+    rows = px.loci(spark, sf).withColumn("chrom", (1 + F.floor(F.col("snp_idx") / px.CHROM_LOCI)).cast("string"))
+    return grm.tiles(rows, "OSH", "add", by="chrom")
 
 
 def _grm_query(kind: str, name: str):
@@ -250,7 +259,13 @@ _grm_query("add", "grm_additive")
 _grm_query("dom", "grm_dominance")
 
 
-@register("grm_normalised", f"WITH {px.GENO}, {encoding_sql('OSH', 'add')}, {_PAIRS}, k AS (SELECT sum(v) / count(*) AS k FROM g2 WHERE i = j) SELECT i, j, {s6('v / k', 'value')} FROM g2, k")
+@register("grm_join", f"WITH {px.GENO}, {encoding_sql('OSH', 'add')}, {_PAIRS} SELECT i, j, {s6('v', 'value')} FROM g2")
+def grm_join(spark, sf):
+    """The same matrix by a self-join of the long form."""
+    return grm.relationship(gt.encode_long(px.geno(spark, sf), "OSH", "add")).select("i", "j", r6("value", "value"))
+
+
+@register("grm_normalised", f"WITH {px.GENO}, {encoding_sql('OSH', 'add')}, {_PAIRS}, k AS (SELECT avg(list_dot_product(l, l)) AS k FROM rows_) SELECT i, j, {s6('v / k', 'value')} FROM g2, k")
 def grm_normalised(spark, sf):
     return grm.normalised(_matrix(spark, sf)).select("i", "j", r6("value", "value"))
 
@@ -264,28 +279,39 @@ def grm_subset(spark, sf):
     return grm.subset(_matrix(spark, sf), pick).select("i", "j", r6("value", "value"))
 
 
-@register("grm_loco", f"""WITH {px.GENO}, {encoding_sql('OSH', 'add')}, w AS (SELECT a.i, b.i AS j, sum(a.z * b.z) AS v, sum(CASE WHEN a.j < 16 THEN a.z * b.z ELSE 0 END) AS own FROM enc a JOIN enc b ON a.j = b.j AND a.i >= b.i GROUP BY 1, 2),
- k AS (SELECT sum(v) / count(*) AS k, sum(own) / count(*) AS ki FROM w WHERE i = j) SELECT i, j, {s6('(v - own) / (k - ki)', 'value')} FROM w, k""")
+@register("grm_loco", f"""WITH {px.GENO}, {encoding_sql('OSH', 'add')}, {_LISTS}, own AS MATERIALIZED (SELECT i, list(CASE WHEN j < 16 THEN z ELSE 0 END ORDER BY j) AS l FROM enc GROUP BY i),
+ k AS (SELECT (SELECT avg(list_dot_product(l, l)) FROM rows_) AS k, (SELECT avg(list_dot_product(l, l)) FROM own) AS ki)
+ SELECT a.i, b.i AS j, {s6('(list_dot_product(a.l, b.l) - list_dot_product(c.l, d.l)) / (k.k - k.ki)', 'value')} FROM rows_ a JOIN rows_ b ON a.i >= b.i JOIN own c ON c.i = a.i JOIN own d ON d.i = b.i, k""")
 def grm_loco(spark, sf):
-    return grm.loco(_matrix(spark, sf), _matrix(spark, sf, where=F.col("snp_idx") < 16)).select("i", "j", r6("value", "value"))
+    n = px.table(spark, sf, "embeddings").count()
+    return grm.loco_of(_parts(spark, sf), "1", n).select("i", "j", r6("value", "value"))
 
 
 # ---- association ----------------------------------------------------------
 
 
-@register("gwas_wald_null", f"""WITH {px.GENO}, {encoding_sql('OCH', 'add')}, y AS (SELECT vec_id AS i, CAST(label AS DOUBLE) - (SELECT avg(CAST(label AS DOUBLE)) FROM embeddings) AS r FROM embeddings), v AS (SELECT var_samp(CAST(label AS DOUBLE)) AS v FROM embeddings)
- SELECT j AS snp_idx, {s6('any_value(p)', 'a1_freq')}, {s6('sum(z * r) / sum(z * z)', 'beta')}, {s6('sqrt(any_value(v) / sum(z * z))', 'se')} FROM enc JOIN y USING (i), v GROUP BY j""")
+def erfc_sql(x: str) -> str:
+    """The complementary error function of a number >= 0 by the midpoint rule over
+    exp(-t t) from x to x + 8."""
+    step = "(8.0::DOUBLE / 40000)"
+    return f"2 / sqrt(pi()) * {step} * list_sum(list_transform(range(40000), lambda k: exp(-power({x} + (k + 0.5) * {step}, 2))))"
+
+
+
+@register("gwas_wald_null", f"""WITH {px.GENO}, {encoding_sql('OCH', 'add')}, y AS (SELECT vec_id AS i, CAST(label AS DOUBLE) - (SELECT avg(CAST(label AS DOUBLE)) FROM embeddings) AS r FROM embeddings), v AS (SELECT var_samp(CAST(label AS DOUBLE)) AS v FROM embeddings),
+ t AS (SELECT j, any_value(p) AS f, sum(z * r) / sum(z * z) AS beta, sqrt(any_value(v) / sum(z * z)) AS se FROM enc JOIN y USING (i), v GROUP BY j)
+ SELECT j AS snp_idx, {s6('f', 'a1_freq')}, {s6('beta', 'beta')}, {s6('se', 'se')}, {s6(erfc_sql('abs(beta / se) / sqrt(2)'), 'p')} FROM t""")
 def gwas_wald_null(spark, sf):
     """Scan under independent samples of equal variance."""
     y = px.phenotype(spark, sf)
     v = float(y.var(ddof=1))
     out = assoc.scan(px.loci(spark, sf), 1 / v, (y - y.mean()) / v)
-    return out.select(F.col("snp_idx").cast("int").alias("snp_idx"), r6("a1_freq", "a1_freq"), r6("beta", "beta"), r6("se", "se"))
+    return out.select(F.col("snp_idx").cast("int").alias("snp_idx"), r6("a1_freq", "a1_freq"), r6("beta", "beta"), r6("se", "se"), r6("p", "p"))
 
 
 def _null(spark, sf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     y = px.phenotype(spark, sf)
-    k = grm.to_matrix(_matrix(spark, sf), len(y))
+    k = grm.tiles_to_matrix(_tiles(spark, sf), len(y))
     return y, np.ones((len(y), 1)), k
 
 
@@ -304,10 +330,11 @@ def gwas_mlm(spark, sf):
 
 @register("gwas_loco")
 def gwas_loco(spark, sf):
-    y, x, k = _null(spark, sf)
+    y = px.phenotype(spark, sf)
     rows = px.loci(spark, sf).withColumn("chrom", (1 + F.floor(F.col("snp_idx") / px.CHROM_LOCI)).cast("string"))
-    parts = {str(c): {"add": grm.to_matrix(_matrix(spark, sf, where=F.floor(F.col("snp_idx") / px.CHROM_LOCI) == c - 1), len(y))} for c in range(1, 5)}
-    return assoc.loco_association(rows, y, x, {"add": k}, parts)[0]
+    parts = grm.parts_to_matrices(_parts(spark, sf), len(y))
+    whole = sum(parts.values())
+    return assoc.loco_association(rows, y, np.ones((len(y), 1)), {"add": whole}, {c: {"add": parts[c]} for c in sorted(parts)})[0]
 
 
 # ---- prediction -----------------------------------------------------------
@@ -382,10 +409,22 @@ def effect_classes(spark, sf):
     return simulate.assign_classes(one, [(0.7, 0.0), (0.2, 0.01), (0.1, 0.1)], order=(F.col("snp_idx") * 37) % 64)
 
 
-@register("simulated_phenotype")
+def _normal_sql(seed: int, key: str, stream: int) -> str:
+    u = [f"((CAST('0x' || substr(md5({key} || ':{seed}:{k}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE)" for k in (stream, stream + 1)]
+    return f"(sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]}))"
+
+
+def _values_sql(name: str, kind: str, seed: int) -> str:
+    """CTE: sums of OS-encoded genotypes times effects drawn from the locus."""
+    inner = encoding_sql("OS", kind)
+    return f"{name} AS (WITH {inner} SELECT i, sum(z * 0.1 * {_normal_sql(seed, 'CAST(j AS VARCHAR)', 1)}) AS v FROM enc GROUP BY i)"
+
+
+@register("simulated_phenotype", f"""WITH {px.GENO}, {_values_sql('a', 'add', 42)}, {_values_sql('d', 'dom', 43)}, s AS (SELECT (SELECT var_samp(v) FROM a) AS va, (SELECT var_samp(v) FROM d) AS vd)
+ SELECT i AS sample_idx, {s6(f"a.v + d.v * sqrt(va * 0.1 / 0.5 / vd) + {_normal_sql(42, 'CAST(i AS VARCHAR)', 3)} * sqrt(va * 0.4 / 0.5)", 'phenotype')} FROM a JOIN d USING (i), s""")
 def simulated_phenotype(spark, sf):
     n = px.table(spark, sf, "embeddings").count()
-    return simulate.simulate(px.loci(spark, sf), n, 0.5, 0.1).phenotype
+    return simulate.simulate(px.loci(spark, sf), n, 0.5, 0.1).phenotype.select("sample_idx", r6("phenotype", "phenotype"))
 
 
 # ---- chains ---------------------------------------------------------------
@@ -399,15 +438,14 @@ def posterior_summary(spark, sf):
 @register("pve", f"WITH {px.CHAINS}, m AS (SELECT chain, avg(value) AS m FROM chains GROUP BY chain), v AS (SELECT var_samp(value) AS v FROM chains) SELECT chain, {s6('m * m / v', 'pve')} FROM m, v")
 def pve(spark, sf):
     c = px.chains(spark, sf)
-    v = c.agg(F.var_samp("value").alias("v"))
-    return c.groupBy("chain").agg(F.avg("value").alias("m")).crossJoin(F.broadcast(v)).select("chain", r6(F.col("m") * F.col("m") / F.col("v"), "pve"))
+    v = c.agg(F.var_samp("value")).scalar()
+    return c.groupBy("chain").agg(F.avg("value").alias("m")).withColumn("v", v).select("chain", r6(bayes.explained(F.col("m"), F.col("v")), "pve"))
 
 
 @register("pip_components", f"WITH {px.CHAINS}, k AS (SELECT chain, CAST(floor(value) AS BIGINT) % 3 AS c FROM chains) SELECT chain, {s6('avg(CASE WHEN c = 0 THEN 1.0 ELSE 0.0 END)', 'p0')}, {s6('avg(CASE WHEN c = 1 THEN 1.0 ELSE 0.0 END)', 'p1')}, {s6('avg(CASE WHEN c = 2 THEN 1.0 ELSE 0.0 END)', 'p2')}, {s6('avg(CASE WHEN c >= 1 THEN 1.0 ELSE 0.0 END)', 'pip')} FROM k GROUP BY chain")
 def pip_components(spark, sf):
     k = px.chains(spark, sf).withColumn("c", F.floor("value") % 3)
-    share = lambda cond, name: r6(F.avg(F.when(cond, 1.0).otherwise(0.0)), name)
-    return k.groupBy("chain").agg(*[share(F.col("c") == i, f"p{i}") for i in range(3)], share(F.col("c") >= 1, "pip"))
+    return bayes.class_shares(k, ["chain"], "c", 3).select("chain", *[r6(c, c) for c in ("p0", "p1", "p2", "pip")])
 
 
 def _rhat_sql(parts: str) -> str:
@@ -427,41 +465,69 @@ def split_rhat(spark, sf):
 @register("autocorr", f"""WITH {px.CHAINS}, m AS (SELECT chain, avg(value) AS m, var_pop(value) AS v, count(*) AS n FROM chains GROUP BY chain), l AS (SELECT unnest(range(6)) AS lag)
  SELECT a.chain, CAST(l.lag AS INT) AS lag, {s6('sum((a.value - m.m) * (b.value - m.m)) / any_value(m.n) / any_value(m.v)', 'rho')} FROM chains a JOIN m ON a.chain = m.chain, l JOIN chains b ON b.chain = a.chain AND b.draw = a.draw + l.lag GROUP BY a.chain, l.lag""")
 def autocorr(spark, sf):
-    """Lags 0 to 5 by joins on the shifted draw."""
-    c = px.chains(spark, sf)
-    m = c.groupBy("chain").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("*").alias("n"))
-    a = c.join(F.broadcast(m), "chain").select("chain", "draw", (F.col("value") - F.col("m")).alias("d"), "v", "n")
-    shifted = a.select("chain", "d", "v", "n", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("lag"), "draw").withColumn("draw", F.col("draw") + F.col("lag"))
-    both = shifted.join(a.select("chain", "draw", F.col("d").alias("e")), ["chain", "draw"])
-    return both.groupBy("chain", "lag", "v", "n").agg(F.sum(F.col("d") * F.col("e")).alias("s")).select("chain", "lag", r6(F.col("s") / F.col("n") / F.col("v"), "rho"))
+    return diagnose.autocorrelations(px.chains(spark, sf), 5).select("chain", "lag", r6("rho", "rho"))
+
+
+_EVEN = "even AS (SELECT CAST(event_id % 4 AS INT) AS chain, CAST(event_id // 4 AS BIGINT) AS draw, CAST(value AS DOUBLE) AS value FROM events)"
+
+
+def _even(spark, sf):
+    """Chains of equal length: events dealt in turn."""
+    e = F.col("event_id")
+    return px.table(spark, sf, "events").select(F.pmod(e, F.lit(4)).cast("int").alias("chain"), F.floor(e / 4).cast("long").alias("draw"), F.lit("value").alias("param"), F.col("value").cast("double").alias("value"))
 
 
-@register("diagnostics")
+@register("diagnostics", f"""WITH {_EVEN}, d AS MATERIALIZED (SELECT chain, list(value - m ORDER BY draw) AS l, any_value(n) AS n, any_value(m) AS m, any_value(v) AS v FROM (SELECT *, avg(value) OVER w AS m, var_samp(value) OVER w AS v, count(*) OVER w AS n FROM even WINDOW w AS (PARTITION BY chain)) GROUP BY chain),
+ lags AS (SELECT unnest(range((SELECT max(n) FROM d))) AS t), cov AS (SELECT t, avg(list_dot_product(l[1:n - t], l[t + 1:n]) / n) AS c FROM d, lags GROUP BY t),
+ w AS (SELECT avg(v) AS w, (max(n) - 1) / max(n)::DOUBLE * avg(v) + var_samp(m) AS pooled, max(n) AS n, count(*) AS chains FROM d), rho AS (SELECT t, CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE 1 - (w - c) / pooled END AS r FROM cov, w),
+ pairs AS (SELECT t // 2 AS k, sum(r) AS p FROM rho, w WHERE t < n // 2 * 2 GROUP BY 1), mono AS (SELECT k, p, min(greatest(p, 0)) OVER (ORDER BY k) AS q FROM pairs),
+ ess AS (SELECT any_value(chains) * any_value(n) / (2 * (sum(CASE WHEN k = 0 THEN p ELSE 0 END) + sum(CASE WHEN k > 0 THEN q ELSE 0 END)) - 1) AS ess FROM mono, w),
+ h AS (SELECT chain * 2 + CASE WHEN draw < n // 2 THEN 0 ELSE 1 END AS unit, value FROM even, w WHERE draw < n // 2 OR draw >= n - n // 2), ho AS (SELECT avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM h GROUP BY unit), hq AS (SELECT avg(v) AS w, var_samp(m) AS b, max(n) AS n FROM ho),
+ o AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM even), i AS (SELECT a.value AS low, b.value AS high FROM o a JOIN o b ON b.r = a.r + CAST(floor(0.9 * a.n) AS BIGINT) ORDER BY round(b.value - a.value, 9), a.r LIMIT 1)
+ SELECT 'value' AS param, (SELECT {s6('avg(value)', 'x')} FROM even) AS mean, (SELECT {s6('stddev_pop(value)', 'x')} FROM even) AS sd, {s6('low', 'hpdi_low')}, {s6('high', 'hpdi_high')}, round(ess, 3) + 0.0::DOUBLE AS ess, (SELECT {s6('sqrt(((n - 1) / n::DOUBLE * w + b) / w)', 'x')} FROM hq) AS rhat FROM i, ess""")
 def diagnostics(spark, sf):
-    """Mean, sd, HPDI, ESS and split R-hat of equally long chains."""
-    c = px.chains(spark, sf)
-    n = c.groupBy("chain").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    return diagnose.summary(c.crossJoin(F.broadcast(n)).where("draw < least").select("chain", "draw", "param", "value"))
+    """Mean, sd, HPDI, ESS and split R-hat."""
+    one = diagnose.summary(_even(spark, sf))
+    return one.select("param", *[r6(c, c) for c in ("mean", "sd", "hpdi_low", "hpdi_high")], (F.round("ess", 3) + F.lit(0.0)).alias("ess"), r6("rhat", "rhat"))
 
 
 @register("hpdi", f"""WITH {px.CHAINS}, o AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM chains), w AS (SELECT a.value AS low, b.value AS high, a.r FROM o a JOIN o b ON b.r = a.r + CAST(floor(0.9 * a.n) AS BIGINT))
  SELECT {s6('low', 'low')}, {s6('high', 'high')} FROM w ORDER BY round(high - low, 9), r LIMIT 1""")
 def hpdi(spark, sf):
-    """The narrowest interval of 90 %: ranks joined to the rank k further on."""
-    from pyspark.sql import Window
-
-    c = px.chains(spark, sf)
-    total = c.agg(F.floor(0.9 * F.count("*")).alias("k"))
-    ranked = c.select("value").withColumn("r", F.row_number().over(Window.orderBy("value")))
-    ends = ranked.crossJoin(F.broadcast(total)).select(F.col("value").alias("low"), (F.col("r") + F.col("k")).alias("r"))
-    w = ends.join(ranked.withColumnRenamed("value", "high"), "r")
-    best = w.agg(F.min_by(F.struct("low", "high"), F.struct(F.round(F.col("high") - F.col("low"), 9), "r")).alias("w"))
-    return best.select(r6("w.low", "low"), r6("w.high", "high"))
+    return diagnose.hpd_intervals(px.chains(spark, sf)).select(r6("low", "low"), r6("high", "high"))
 
 
-@register("running_stats", f"WITH {px.CHAINS} SELECT chain, {s6('avg(value)', 'mean')}, {s6('stddev_samp(value)', 'sd')} FROM chains GROUP BY chain")
+@register("running_stats", f"WITH {px.CHAINS} SELECT chain, count(*) AS n, {s6('avg(value)', 'mean')}, {s6('stddev_samp(value)', 'sd')} FROM chains GROUP BY chain")
 def running_stats(spark, sf):
-    return px.chains(spark, sf).groupBy("chain").agg(r6(F.avg("value"), "mean"), r6(F.stddev_samp("value"), "sd"))
+    return moments.running(px.chains(spark, sf), ["chain"]).select("chain", "n", r6("mean", "mean"), r6("sd", "sd"))
+
+
+@register("merged_stats", f"WITH {px.CHAINS} SELECT chain, count(*) AS n, {s6('avg(value)', 'mean')}, {s6('stddev_samp(value)', 'sd')} FROM chains GROUP BY chain")
+def merged_stats(spark, sf):
+    """The same from moments of parts (draws by their last digit)."""
+    parts = moments.running(px.chains(spark, sf).withColumn("part", F.pmod("draw", F.lit(10))), ["chain", "part"])
+    return moments.merged(parts, ["chain"]).select("chain", "n", r6("mean", "mean"), r6("sd", "sd"))
+
+
+_CELLS = "cells AS (SELECT vec_id AS i, CAST(unnest(range(64)) AS INT) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
+@register("row_variance", f"WITH {_CELLS} SELECT i AS vec_id, {s6('var_samp(x)', 'variance')} FROM cells GROUP BY i")
+def row_variance(spark, sf):
+    return moments.axis_variance(px.table(spark, sf, "embeddings"), "vec_id", "embedding").select("vec_id", r6("variance", "variance"))
+
+
+@register("column_variance", f'WITH {_CELLS} SELECT j AS "column", {s6("var_pop(x)", "variance")} FROM cells GROUP BY j')
+def column_variance(spark, sf):
+    return moments.axis_variance(px.table(spark, sf, "embeddings"), "vec_id", "embedding", "column", 0).select("column", r6("variance", "variance"))
+
+
+@register("standardised_rows", f"WITH {_CELLS}, m AS (SELECT i, avg(x) AS m, stddev_samp(x) AS s FROM cells GROUP BY i) SELECT i AS vec_id, {s6('sum((x - m) / s * (j % 5))', 'weighted')}, {s6('sum((x - m) * (j % 5))', 'centred')} FROM cells JOIN m USING (i) GROUP BY i")
+def standardised_rows(spark, sf):
+    rows = px.table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("embedding").alias("plain"))
+    both = moments.centred(moments.standardised(rows, "embedding"), "plain")
+    weigh = lambda c: F.aggregate(F.transform(c, lambda x, j: x * F.pmod(j, F.lit(5))), F.lit(0.0), lambda s, x: s + x)
+    return both.select("vec_id", r6(weigh("embedding"), "weighted"), r6(weigh("plain"), "centred"))
 
 
 @register("thinned_draws", f"WITH {px.CHAINS} SELECT chain, draw, {s6('value', 'value')} FROM chains WHERE draw >= 10 AND (draw + 1 - 10) % 5 = 0")
@@ -479,7 +545,7 @@ def _bayes(name: str):
         kinds = ["add", "dom"] if bayes.Spec.of(name).dominance else ["add"]
         z = {k: np.array([r["z"] for r in gt.with_encoding(px.loci(spark, sf), "OSH", k).select("snp_idx", "z").orderBy("snp_idx").collect()]) for k in kinds}
         got = bayes.run_chains(spark, y, np.ones((len(y), 1)), z, name, chains=2, iterations=120, burn_in=60)
-        return bayes.effects(got, float(y.var(ddof=1)))
+        return bayes.effects(got, float(y.var(ddof=1)), bayes.component_count(name))
 
 
 for _n in bayes.MODELS:
@@ -513,6 +579,176 @@ def grm_bin_roundtrip(spark, sf):
     return read_grm(spark, prefix).select("i", "j", (F.round("value", 2) + F.lit(0.0)).alias("value"))
 
 
+def _trio(spark, sf) -> str:
+    """PLINK files of the genotypes; ids and variants by rule."""
+    from heritas.sources.plink import write_plink
+
+    rows = px.loci(spark, sf).orderBy("snp_idx").collect()
+    g = np.array([[np.nan if v is None else v for v in r["dosage"]] for r in rows])
+    ids = [(f"f{r['label']}", f"s{r['vec_id']}") for r in px.table(spark, sf, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
+    prefix = px.scratch(spark, "trio")
+    write_plink(prefix, g, ids, [(str(1 + j // px.CHROM_LOCI), f"rs{j + 1}", 100 * (j + 1), "ACG"[j % 3], "T") for j in range(len(g))])
+    return prefix
+
+
+@register("bim_roundtrip", f"WITH {px.GENO} SELECT DISTINCT CAST(j AS BIGINT) AS snp_idx, CAST(1 + j // 16 AS VARCHAR) AS chrom, 'rs' || (j + 1) AS snp_id, 100 * (j + 1) AS pos, substr('ACG', j % 3 + 1, 1) AS a1, 'T' AS a2 FROM geno")
+def bim_roundtrip(spark, sf):
+    from heritas.sources.plink import read_bim
+
+    return read_bim(spark, _trio(spark, sf) + ".bim")
+
+
+@register("fam_roundtrip", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS raw_idx, 'f' || label AS fid, 's' || vec_id AS iid FROM embeddings")
+def fam_roundtrip(spark, sf):
+    from heritas.sources.plink import read_fam
+
+    return read_fam(spark, _trio(spark, sf) + ".fam")
+
+
+@register("bed_info", f"WITH {px.GENO} SELECT count(DISTINCT i) AS samples, count(DISTINCT j) AS loci FROM geno")
+def bed_info_query(spark, sf):
+    from heritas.sources.plink import bed_info
+
+    info = bed_info(_trio(spark, sf) + ".bed")
+    return spark.createDataFrame([(info.samples, info.loci)], "samples long, loci long")
+
+
+@register("bed_range", f"WITH {px.GENO} SELECT j AS snp_idx, count(g) AS n_valid, {s6('sum(g * (i // 3))', 'weighted')} FROM geno WHERE i % 3 = 0 AND j BETWEEN 10 AND 49 GROUP BY j")
+def bed_range(spark, sf):
+    """A range of loci by push-down and options; every third sample, in reverse,
+    and one that the file lacks."""
+    from heritas.sources.plink import read_bed
+
+    n = px.table(spark, sf, "embeddings").count()
+    keep = [*range(0, n, 3)][::-1]
+    back = read_bed(spark, _trio(spark, sf) + ".bed", start=5, end=60, partitionLoci=7, keep=",".join(map(str, [*keep, -1])))
+    cells = back.where("snp_idx >= 10 AND snp_idx < 50").select("snp_idx", F.posexplode("dosage").alias("k", "g"))
+    return cells.groupBy(F.col("snp_idx").cast("int").alias("snp_idx")).agg(F.count("g").alias("n_valid"), r6(F.sum(F.col("g") * (len(keep) - 1 - F.col("k"))), "weighted"))
+
+
+@register("grm_load_subset", f"""WITH {px.GENO}, {encoding_sql('OSH', 'add')}, {_LISTS}, pick AS (SELECT i, l, row_number() OVER (ORDER BY i DESC) - 1 AS t FROM rows_ WHERE i % 5 = 0), k AS (SELECT avg(CAST(CAST(list_dot_product(l, l) AS FLOAT) AS DOUBLE)) AS k FROM pick)
+ SELECT a.t AS i, b.t AS j, {s6('CAST(CAST(list_dot_product(a.l, b.l) AS FLOAT) AS DOUBLE) / k', 'value')} FROM pick a JOIN pick b ON a.t >= b.t, k""")
+def grm_load_subset(spark, sf):
+    """A matrix file, loaded for samples in an order of their own; its numbers have
+    single precision."""
+    from heritas.sources.binary import load_grm, write_grm
+
+    n = px.table(spark, sf, "embeddings").count()
+    prefix = px.scratch(spark, "g.add")
+    write_grm(prefix, grm.tiles_to_matrix(_tiles(spark, sf), n), [("f", str(i)) for i in range(n)])
+    return _triangle(spark, load_grm(prefix, [("f", str(i)) for i in range(n) if i % 5 == 0][::-1]))
+
+
+def _triangle(spark, matrix: np.ndarray) -> DataFrame:
+    import pandas as pd
+
+    i, j = np.tril_indices(len(matrix))
+    return spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "value": matrix[i, j]})).select("i", "j", r6("value", "value"))
+
+
+@register("grm_load_loco", f"""WITH {px.GENO}, {encoding_sql('OSH', 'add')}, {_LISTS}, own AS MATERIALIZED (SELECT i, list(CASE WHEN j BETWEEN 16 AND 31 THEN z ELSE 0 END ORDER BY j) AS l FROM enc GROUP BY i),
+ f AS MATERIALIZED (SELECT a.i, b.i AS j, CAST(CAST(list_dot_product(a.l, b.l) AS FLOAT) AS DOUBLE) - CAST(CAST(list_dot_product(c.l, d.l) AS FLOAT) AS DOUBLE) AS v FROM rows_ a JOIN rows_ b ON a.i >= b.i JOIN own c ON c.i = a.i JOIN own d ON d.i = b.i), k AS (SELECT avg(v) AS k FROM f WHERE i = j)
+ SELECT i, j, {s6('v / k', 'value')} FROM f, k""")
+def grm_load_loco(spark, sf):
+    from heritas.sources.binary import load_loco_grm, write_grm
+
+    n = px.table(spark, sf, "embeddings").count()
+    ids = [("f", str(i)) for i in range(n)]
+    prefix = px.scratch(spark, "g.add")
+    parts = grm.parts_to_matrices(_parts(spark, sf), n)
+    write_grm(prefix, sum(parts.values()), ids)
+    write_grm(prefix + ".chr2", parts["2"], ids)
+    return _triangle(spark, load_loco_grm(prefix, "2"))
+
+
+@register("encoded_roundtrip", f"WITH {px.GENO}, {encoding_sql('OSH', 'add')} SELECT j AS snp_idx, {s6('any_value(mean)', 'mean')}, {s6('any_value(sd)', 'sd')}, {s6('sum(z * (i % 7))', 'weighted')} FROM enc GROUP BY j")
+def encoded_roundtrip(spark, sf):
+    """Encoded loci and their moments through matrix files."""
+    from heritas.sources.binary import read_encoded, write_encoded
+
+    rows = gt.with_encoding(px.loci(spark, sf), "OSH", "add").select("z", "mean", "sd", "is_monomorphic", "snp_idx").orderBy("snp_idx").collect()
+    prefix = px.scratch(spark, "encoded")
+    write_encoded(prefix, np.array([r["z"] for r in rows]).T, [r["mean"] for r in rows], [r["sd"] for r in rows], [k for k, r in enumerate(rows) if r["is_monomorphic"]])
+    z, means, sds, _ = read_encoded(prefix)
+    weighted = (np.asarray(z) * (np.arange(len(z)) % 7)[:, None]).sum(0)
+    out = spark.createDataFrame([(r["snp_idx"], float(m), float(s), float(w)) for r, m, s, w in zip(rows, means, sds, weighted)], "snp_idx int, mean double, sd double, weighted double")
+    return out.select("snp_idx", r6("mean", "mean"), r6("sd", "sd"), r6("weighted", "weighted"))
+
+
+@register("chain_file_roundtrip", f"WITH {_EVEN} SELECT chain, draw, {s6('value', 'value')} FROM even")
+def chain_file_roundtrip(spark, sf):
+    """Draws through a chain file: a column a draw, a row a chain."""
+    from heritas.sources.binary import ChainWriter, read_chain
+
+    path = px.scratch(spark, "draws")
+    wide = _even(spark, sf).groupBy("draw").pivot("chain", [0, 1, 2, 3]).agg(F.first("value")).orderBy("draw")
+    w = ChainWriter(path, 4)
+    for r in wide.toLocalIterator():
+        w.write(np.array(r[1:], float))
+    w.finish()
+    x = read_chain(path)
+    rows = [(c, d, float(x[c, d])) for c in range(x.shape[0]) for d in range(x.shape[1])]
+    return spark.createDataFrame(rows, "chain int, draw long, value double").select("chain", "draw", r6("value", "value"))
+
+
+@register("effects_roundtrip", f"""WITH {px.MODEL}, f AS (SELECT snp_id, a1, a2, model_idx, CAST(format('{{:.6g}}', a1_freq) AS DOUBLE) AS p, CAST(format('{{:.6g}}', "add") AS DOUBLE) AS a, CAST(format('{{:.6g}}', dom) AS DOUBLE) AS d FROM model)
+ SELECT row_number() OVER (ORDER BY model_idx) - 1 AS model_idx, snp_id, a1, a2, {s6('p', 'a1_freq')}, {s6('a', '"add"')}, {s6('d', 'dom')} FROM f""")
+def effects_roundtrip(spark, sf):
+    """A model's effects written and read."""
+    from heritas.sources.tables import read_effects, write_effects
+
+    m = px.model_effects(spark, sf).withColumn("snp_idx", F.col("model_idx"))
+    rest = [F.lit(0.0).alias(c) for c in ("sd", "pve", "pip")]
+    both = m.select("snp_idx", F.lit("add").alias("effect"), F.col("add").alias("mean"), *rest).union(m.select("snp_idx", F.lit("dom").alias("effect"), F.col("dom").alias("mean"), *rest))
+    path = px.scratch(spark, "model.snp.eff")
+    write_effects(both, m.select("snp_idx", F.lit("1").alias("chrom"), "snp_id", F.lit(1).alias("pos"), "a1", "a2"), m.select("snp_idx", "a1_freq"), path)
+    return read_effects(spark, path).select("model_idx", "snp_id", "a1", "a2", r6("a1_freq", "a1_freq"), r6("add", "add"), r6("dom", "dom"))
+
+
+@register("params_roundtrip", f"""WITH {px.IDS}, t AS (SELECT 'Intercept' AS name, '' AS level, avg(y) AS m FROM pheno UNION ALL SELECT 'orders', '', avg(n_orders) FROM cov UNION ALL SELECT 'segment', segment, avg(y) FROM pheno GROUP BY segment)
+ SELECT name, level, CAST(format('{{:.6g}}', m) AS DOUBLE) AS mean FROM t""")
+def params_roundtrip(spark, sf):
+    """Fixed terms written with variances beside them, and read."""
+    from heritas.sources.tables import genetic_terms, read_params, write_params
+
+    p = px.samples(spark, sf)
+    mean = p.agg(F.avg("y")).first()[0]
+    orders = px.covariates(spark, sf).agg(F.avg("n_orders")).first()[0]
+    rows = [("Intercept", mean, 1.0), ("orders", orders, 0.5)] + [(f"segment_{r['segment']}", r["m"], 0.1) for r in p.groupBy("segment").agg(F.avg("y").alias("m")).collect()]
+    rows += genetic_terms({"sigma_add": (1.0, 0.1), "h2_add": (0.4, 0.1), "pi_add[0]": (0.9, 0.1), "pi_add[1]": (0.1, 0.1), "sigma_e": (1.5, 0.1)}, ["add"])
+    path = px.scratch(spark, "model.params")
+    write_params(rows, path)
+    intercept, continuous, categorical = read_params(path)
+    out = [("Intercept", "", intercept)] + [(k, "", v) for k, v in continuous.items()] + [(k, x, v) for k, own in categorical.items() for x, v in own.items()]
+    return spark.createDataFrame(out, "name string, level string, mean double")
+
+
+@register("prediction_roundtrip", f"""WITH {_SCORE} SELECT 'f' AS fid, CAST(sample_idx AS VARCHAR) AS iid, CAST(format('{{:.6f}}', additive + dominant) AS DOUBLE) + 0.0::DOUBLE AS prediction, CAST(format('{{:.6f}}', additive) AS DOUBLE) + 0.0::DOUBLE AS additive FROM score""")
+def prediction_roundtrip(spark, sf):
+    from heritas.sources.tables import read_frame, write_prediction
+
+    scored = _scores(spark, sf).withColumn("prediction", F.col("additive") + F.col("dominant")).withColumn("fid", F.lit("f")).withColumn("iid", F.col("sample_idx").cast("string"))
+    path = px.scratch(spark, "predictions.tsv")
+    write_prediction(scored, path, ["additive", "dominant"])
+    return read_frame(spark, path).select("fid", "iid", r6("prediction", "prediction"), r6("additive", "additive"))
+
+
+@register("gwas_file_roundtrip", f"""WITH {px.GENO}, {encoding_sql('OCH', 'add')}, y AS (SELECT vec_id AS i, CAST(label AS DOUBLE) - (SELECT avg(CAST(label AS DOUBLE)) FROM embeddings) AS r FROM embeddings), v AS (SELECT var_samp(CAST(label AS DOUBLE)) AS v FROM embeddings)
+ SELECT '1' AS "CHR", 'rs' || (j + 1) AS "SNP", CAST(j AS INT) AS "BP", format('{{:.6g}}', any_value(p)) AS "A1FREQ", format('{{:.6g}}', sum(z * r) / sum(z * z)) AS "BETA", format('{{:.6g}}', sqrt(any_value(v) / sum(z * z))) AS "SE" FROM enc JOIN y USING (i), v GROUP BY j""")
+def gwas_file_roundtrip(spark, sf):
+    from heritas.sources.tables import write_gwas
+
+    y = px.phenotype(spark, sf)
+    v = float(y.var(ddof=1))
+    found = assoc.scan(px.loci(spark, sf), 1 / v, (y - y.mean()) / v)
+    j = F.col("snp_idx")
+    variants = px.geno(spark, sf).select("snp_idx").distinct().select(j.cast("long").alias("snp_idx"), F.lit("1").alias("chrom"), F.concat(F.lit("rs"), j + 1).alias("snp_id"), j.cast("int").alias("pos"), F.lit("A").alias("a1"), F.lit("T").alias("a2"))
+    path = px.scratch(spark, "scan.gwas.tsv")
+    write_gwas(found, variants, path)
+    back = spark.read.csv(path, sep="\t", header=True)
+    return back.select("CHR", "SNP", F.col("BP").cast("int").alias("BP"), "A1FREQ", "BETA", "SE")
+
+
 @register("tsv_roundtrip", f"WITH {px.IDS} SELECT fid, iid, y FROM pheno WHERE y >= 0")
 def tsv_roundtrip(spark, sf):
     from heritas.sources.tables import read_frame, write_lines

@@ -110,11 +110,15 @@ MATCHED = """matched AS (SELECT t.snp_idx, t.snp_id, CASE WHEN m.snp_id IS NULL
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path for files that executors read with open(): the shared folder
-    where it is a mounted one, else /tmp (tests)."""
+    """A path for files that executors read with open(), in the shared folder.  Only
+    a session of one machine that names none, as in tests, gets one of its own."""
     import tempfile
 
     told = spark.conf.get("spark.checkpoint.dir", None) or ""
-    base = told.removeprefix("file://") if told.startswith(("file://", "/")) else "/tmp"
-    os.makedirs(base or "/tmp", exist_ok=True)
-    return os.path.join(tempfile.mkdtemp(prefix="heritas-", dir=base or "/tmp"), name)
+    base = told.removeprefix("file://")
+    if not base.startswith("/"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidArgument("spark.checkpoint.dir must be a mounted folder that driver and executors share")
+        base = tempfile.gettempdir()
+    os.makedirs(base, exist_ok=True)
+    return os.path.join(tempfile.mkdtemp(prefix="heritas-", dir=base), name)

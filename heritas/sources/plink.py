@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from heritas.errors import ColumnCountError, EmptyFile, FileFormatError, FileNotFound, FileOpenError, InvalidArgument, ParseError
 
@@ -84,6 +84,29 @@ class LociRange(InputPartition):
 
 
 class BedReader(DataSourceReader):
+    """Reads loci from start to end; comparisons of snp_idx with numbers, pushed
+    down by Spark, narrow the range, so that a chromosome's scan reads its own
+    bytes only."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            where, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if where == ("snp_idx",) and isinstance(value, int):
+                if isinstance(f, EqualTo):
+                    self.start, self.end = max(self.start, value), min(self.end, value + 1)
+                elif isinstance(f, GreaterThanOrEqual):
+                    self.start = max(self.start, value)
+                elif isinstance(f, GreaterThan):
+                    self.start = max(self.start, value + 1)
+                elif isinstance(f, LessThanOrEqual):
+                    self.end = min(self.end, value + 1)
+                elif isinstance(f, LessThan):
+                    self.end = min(self.end, value)
+                else:
+                    yield f
+                continue
+            yield f
+
     def __init__(self, options: dict):
         self.info = bed_info(options["path"])
         self.start, self.end = int(options.get("start", 0)), int(options.get("end", self.info.loci))
@@ -96,7 +119,7 @@ class BedReader(DataSourceReader):
             raise InvalidArgument("a kept sample isn't in the file")
 
     def partitions(self):
-        return [LociRange(i, min(i + self.step, self.end)) for i in range(self.start, self.end, self.step)]
+        return [LociRange(i, min(i + self.step, self.end)) for i in range(self.start, self.end, self.step)] or [LociRange(0, 0)]
 
     def read(self, partition):
         stride, n = self.info.stride, self.info.samples
@@ -130,7 +153,11 @@ class BedSource(DataSource):
 
 def read_bed(spark: SparkSession, path: str, **options) -> DataFrame:
     spark.dataSource.register(BedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     bed_info(path)
+    loci = spark.conf.get("heritas.bed.partitionLoci", None)
+    if loci:
+        options.setdefault("partitionLoci", loci)
     return spark.read.format("bed").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 

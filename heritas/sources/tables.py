@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ def _rows(spark: SparkSession, path: str, columns: list[str], sep: str) -> DataF
     text = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value")).where(F.col("value") != "")
     cells = F.split("value", {"\t": "\t", ",": ",", " ": " "}[sep], -1)
     rows = text.where(F.col("value") != head).withColumn("t", cells)
+    if text.where(F.col("value") == head).limit(2).count() > 1:
+        raise HeaderError(f"{path}: the header repeats")
     bad = rows.where(F.size("t") != len(columns)).limit(1).collect()
     if bad:
         raise ColumnCountError(f"{path}: {len(bad[0]['t'])} columns instead of {len(columns)}: {bad[0]['value'][:80]!r}")
@@ -107,6 +111,8 @@ def read_params(path: str) -> tuple[float, dict[str, float], dict[str, dict[str,
                 term, mean = cells[0], float(cells[1])
             except (IndexError, ValueError):
                 continue  # malformed rows don't count
+            if term[:1] in ("σ", "δ", "π") or term == VARIANCE_TERMS["add"][1] or term.startswith("sigma_random"):
+                continue  # variances and proportions, not effects
             name, mark, level = term.partition("_")
             if term == "Intercept":
                 intercept = mean
@@ -123,7 +129,9 @@ def read_params(path: str) -> tuple[float, dict[str, float], dict[str, dict[str,
 
 
 def _number(c: str, how: str):
-    return F.when(F.col(c).isNull() | F.isnan(c), F.lit("NA")).otherwise(F.format_string(how, F.col(c)))
+    """Significant digits without zeros at their end."""
+    text = F.regexp_replace(F.regexp_replace(F.format_string(how, F.col(c)), r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(F.col(c).isNull() | F.isnan(c), F.lit("NA")).otherwise(text)
 
 
 def write_lines(df: DataFrame, path: str, header: list[str], order: str) -> None:
@@ -147,16 +155,41 @@ def write_gwas(results: DataFrame, variants: DataFrame, path: str) -> None:
 
 
 def write_effects(effects: DataFrame, variants: DataFrame, frequencies: DataFrame, path: str) -> None:
-    """effects: snp_idx, effect, mean, sd, pve, pip."""
-    one = variants.join(frequencies, "snp_idx")
-    add = effects.where("effect = 'add'").select("snp_idx", F.col("mean").alias("Add"), F.col("sd").alias("AddSE"), F.col("pve").alias("AddPVE"), F.col("pip").alias("PIP"))
-    dom = effects.where("effect = 'dom'").select("snp_idx", F.col("mean").alias("Dom"), F.col("sd").alias("DomSE"), F.col("pve").alias("DomPVE"), F.col("pip").alias("DomPIP"))
-    has_dom = dom.limit(1).count() > 0
-    both = one.join(add, "snp_idx", "left")
-    both = both.join(dom, "snp_idx", "left") if has_dom else both
-    numbers = ["Add", "AddSE", "AddPVE", "PIP"] + ["Dom", "DomSE", "DomPVE", "DomPIP"] * has_dom
-    rows = both.select("snp_idx", (F.col("snp_idx") + 1).alias("Index"), F.col("snp_id").alias("ID"), F.col("chrom").alias("Chrom"), F.col("pos").alias("Position"), F.col("a1").alias("A1"), F.col("a2").alias("A2"), _number("a1_freq", "%.6g").alias("A1Freq"), *[_number(c, "%.6g").alias(c) for c in numbers])
-    write_lines(rows, path, [c.replace("DomPIP", "PIP") for c in rows.columns[1:]], "snp_idx")
+    """effects: snp_idx, effect, mean, sd, pve, pip and, for models of several
+    classes, pi_0, pi_1, ...  Loci that the variants lack have NA for what is theirs."""
+    shares = [c for c in effects.columns if c.startswith("pi_")]
+
+    def of(kind: str, name: str) -> tuple[DataFrame, list[str]]:
+        own = {name: "mean", f"{name}SE": "sd", f"{name}PVE": "pve"} | {f"{name}_{c}": c for c in shares} | {f"{name}PIP": "pip"}
+        return effects.where(F.col("effect") == kind).select("snp_idx", *[F.col(c).alias(n) for n, c in own.items()]), list(own)
+
+    (add, numbers), (dom, more) = of("add", "Add"), of("dom", "Dom")
+    both = add.join(variants, "snp_idx", "left").join(frequencies, "snp_idx", "left")
+    if dom.limit(1).count():
+        both, numbers = both.join(dom, "snp_idx", "left"), numbers + more
+    what = [F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(n) for n, c in (("ID", "snp_id"), ("Chrom", "chrom"), ("Position", "pos"), ("A1", "a1"), ("A2", "a2"))]
+    rows = both.select("snp_idx", (F.col("snp_idx") + 1).alias("Index"), *what, _number("a1_freq", "%.6g").alias("A1Freq"), *[_number(c, "%.6g").alias(c) for c in numbers])
+    header = [re.sub(r"^(?:Add|Dom)_(pi_\d+)$", r"\1", re.sub(r"^(?:Add|Dom)PIP$", "PIP", c)) for c in rows.columns[1:]]
+    write_lines(rows, path, header, "snp_idx")
+
+
+#: Terms of variances and proportions in parameter files, by effect.
+VARIANCE_TERMS = {"add": ("σ²_add", "h²"), "dom": ("σ²_dom", "δ²"), "residual": "σ²_e", "proportion": "π[{}]"}
+
+
+def genetic_terms(summary: dict[str, tuple[float, float]], kinds: list[str]) -> list[tuple[str, float, float]]:
+    """term, mean, stddev of random effects' variances, of each effect's variance,
+    heritability and class proportions, and of the residual variance, from the
+    summaries of a chain's scalars."""
+    rows = [(n, *v) for n, v in summary.items() if n.startswith("sigma_random")]
+    for kind in kinds:
+        variance, share = VARIANCE_TERMS[kind]
+        rows += [(variance, *summary[f"sigma_{kind}"]), (share, *summary[f"h2_{kind}"])]
+        k = 0
+        while f"pi_{kind}[{k}]" in summary:
+            rows.append((VARIANCE_TERMS["proportion"].format(k), *summary[f"pi_{kind}[{k}]"]))
+            k += 1
+    return [*rows, (VARIANCE_TERMS["residual"], *summary["sigma_e"])]
 
 
 def write_params(rows: list[tuple[str, float, float]], path: str) -> None:
@@ -166,6 +199,13 @@ def write_params(rows: list[tuple[str, float, float]], path: str) -> None:
         f.writelines(f"{t}\t{m:.6g}\t{s:.6g}\n" for t, m, s in rows)
 
 
+def write_report(rows: DataFrame, path: str) -> None:
+    """A small table as tab-separated text, NA where there is nothing to say."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("\t".join(rows.columns) + "\n")
+        f.writelines("\t".join("NA" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) + "\n" for r in rows.collect())
+
+
 def write_prediction(scored: DataFrame, path: str, terms: list[str], order: str = "sample_idx") -> None:
     rows = scored.select(order, F.col("fid").alias("FID"), F.col("iid").alias("IID"), *[F.format_string("%.6f", F.col(c)).alias(c) for c in ("prediction", *terms)])
     write_lines(rows, path, rows.columns[1:], order)

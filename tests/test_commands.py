@@ -46,7 +46,7 @@ def test_fit_predict_post(spark, study):
     out = str(folder / "fit")
     c.run_fit(spark, str(folder / "p.tsv"), prefix, "RRd", out, qcovar=str(folder / "q.tsv"), dcovar=str(folder / "d.tsv"), iterations=60, burn_in=20, chains=2)
     terms = [x.split("\t")[0] for x in open(out + ".params").read().splitlines()]
-    assert terms == ["term", "Intercept", "age", "sex_M", "sex_F"]
+    assert terms == ["term", "Intercept", "age", "sex_M", "sex_F", "σ²_add", "h²", "σ²_dom", "δ²", "σ²_e"]
     got = c.run_predict(spark, prefix, out + ".snp.eff", str(folder / "pred.tsv"), out + ".params", str(folder / "q.tsv"), str(folder / "d.tsv"))
     assert got.count() == 120
     head = open(folder / "pred.tsv").readline().strip().split("\t")
