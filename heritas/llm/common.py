@@ -5,8 +5,9 @@ from __future__ import annotations
 import contextlib
 import getpass
 import re
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,26 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, was)
 
 
+_OPEN = threading.local()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[..., None]]:
+    """Tables stored inside are removed at the end, but those that the function
+    it gives is called with; they belong to the scope outside, if there is one."""
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    held, kept = [], []
+    scopes.append(held)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        scopes.pop()
+        paths = {t._heritas_path for t in kept}
+        drop_stored(*[t for t in held if t._heritas_path not in paths])
+        if scopes:
+            scopes[-1].extend(t for t in held if t._heritas_path in paths)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of the shared folder and read it: cuts the lineage,
     survives lost executors, and later passes read it instead of recomputing."""
@@ -59,6 +80,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._heritas_path = path
+    for held in _OPEN.__dict__.get("scopes", [])[-1:]:
+        held.append(out)
     return out
 
 

@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import drop_stored, prepare, stored
+from heritas.llm.common import drop_stored, prepare, scope, stored
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -97,6 +97,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """row_key_a__, row_key_b__, doc_id, item_id, start, n_words, similarity: of each
     document and item its most similar window (the first of equal ones)."""
     prepare(docs.sparkSession)
+    with scope() as keep:
+        out = stored(_best(docs, benchmark, threshold), "contaminated")
+        keep(out)
+    return out
+
+
+def _best(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     # Rows of one item_id with other texts are items of their own.
     items = stored(items_table(benchmark).withColumn("item_key", F.xxhash64("item_id", "shingles")).dropDuplicates(["item_key"]), "items")
     places = stored(items.select("size", "n", "item_key", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")).distinct(), "item-shingles")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import arrow_rows, drop_stored, prepare, stored
+from heritas.llm.common import arrow_rows, drop_stored, prepare, scope, stored
 from heritas.llm.components import components
 
 PERMS, BANDS, ROWS = 256, 20, 4
@@ -173,11 +173,11 @@ def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs a, b those whose full sets are similar enough."""
 
     def side(key: str, out: str) -> tuple[DataFrame, DataFrame]:
-        # A class of many pairs gets its set in several places.
-        many = near.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("places"))
-        spread = many.where("places > 1")
-        own = sets.join(many, sets["cls"] == many[key], "left_semi").join(spread, sets["cls"] == spread[key], "left")
-        own = own.select(F.col("cls").alias(key), F.col("shingles").alias(out), F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1)).alias("place_" + key))
+        # A class of many pairs gets its set in several places.  Few classes are,
+        # so the written table of them is small and needs no shuffle of pairs.
+        many = stored(near.groupBy(key).agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("places")), "places")
+        spread = stored(many.where("places > 1"), "places")
+        own = sets.join(many, sets["cls"] == many[key]).select(F.col("cls").alias(key), F.col("shingles").alias(out), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place_" + key))
         return own, spread
 
     (ta, many_a), (tb, many_b) = side("a", "ta"), side("b", "tb")
@@ -229,6 +229,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links of 100 * intersection >= percent * union), kept."""
     prepare(docs.sparkSession)
+    with scope() as keep:
+        signed, named = _named(docs, size, percent)
+        keep(signed, named)
+    out = signed.join(named, ["set_a", "set_b"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _named(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures; and of each set that may have links its component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(signatures(docs, size), "signatures")
     key = ["set_a", "set_b"]
@@ -278,8 +288,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     drop_stored(sets, members, links)
     whole = classes.select(*key, "cls", "low").join(group, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = whole.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stored(whole.join(lowest, "component").select(*key, "component_id"), "named")
-    drop_stored(classes, involved, parts)
-    out = signed.join(named, key, "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return signed, stored(whole.join(lowest, "component").select(*key, "component_id"), "named")

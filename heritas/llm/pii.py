@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import drop_stored, prepare, stored
+from heritas.llm.common import drop_stored, prepare, scope, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The contract's patterns.  Possessive parts and look-behinds change no match:
@@ -160,6 +160,13 @@ def _shape(value: str) -> str:
 
 def discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """Spans of kind `id` by row key: row_key_a__, row_key_b__, more."""
+    with scope() as keep:
+        out = stored(_discovered(scanned, docs), "found")
+        keep(out)
+    return out
+
+
+def _discovered(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     row = ["row_key_a__", "row_key_b__"]
     one = scanned.select(*row, F.explode("instances").alias("i")).select(*row, "i.*")
     is_key = f"value RLIKE {_quoted(KEY)} AND size(regexp_extract_all(value, '[A-Za-z]+', 0)) >= {KEY_RUNS} AND length({_digits('value')}) >= {KEY_DIGITS}"
@@ -221,7 +228,8 @@ def masked(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     scanned = stored(_scanned(docs), "pii")
     more = discovered(scanned, docs).withColumnRenamed("more", "more__")
-    whole = with_base_spans(keyed(docs), out="base__").join(more, ["row_key_a__", "row_key_b__"], "left")
+    rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("row__")))
+    whole = with_base_spans(rows, out="base__").join(more, ["row_key_a__", "row_key_b__"], "left")
     spans = f"array_sort(concat(base__, coalesce(more__, CAST(array() AS {SPAN}))))"
     names = ", ".join(f"'<{k}>'" for k in KINDS)
     text = (
@@ -230,4 +238,4 @@ def masked(docs: DataFrame) -> DataFrame:
         "named_struct('at', greatest(acc.at, s.stop), 'out', acc.out)), acc -> concat(acc.out, substring(text, acc.at + 1)))"
     )
     new = F.when(F.col("text").isNull(), F.col("text")).when((F.size("base__") == 0) & F.col("more__").isNull(), F.col("text")).otherwise(F.expr(text))
-    return whole.select(*[new.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return whole.select(*[new.alias("text") if c == "text" else F.col("row__")[c].alias(c) for c in docs.columns])

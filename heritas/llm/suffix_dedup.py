@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import drop_stored, prepare, stored
+from heritas.llm.common import drop_stored, prepare, scope, stored
 
 LENGTH, GRAM = 50, 33
 #: How far a kept suffix's start can lie behind a window's, and so as many
@@ -330,6 +330,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop (words, end exclusive), n_words: the passages of at
     least LENGTH words that another document has too."""
     prepare(docs.sparkSession)
+    with scope() as keep:
+        out = stored(_passages(docs), "passages")
+        keep(out)
+    return out
+
+
+def _passages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     table = repeated_map(docs)
     suffixes = stored(_suffixes(docs, table), "suffixes")

@@ -27,10 +27,12 @@ rule or verdict are replaced, all others stay.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heritas.llm.common import ascii_lower, drop_stored, prepare, stored
+from heritas.llm.common import ascii_lower, prepare, scope, stored
 
 HASHES = 5
 BITS_A_KEY = 8
@@ -61,10 +63,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Cascade:
-    """levels: rows (shard, level, n_bits, words)."""
+    """tables: of each level, rows (shard, level, n_bits, words)."""
 
-    def __init__(self, levels: DataFrame | None, shards: int, depth: int):
-        self.levels, self.shards, self.depth = levels, shards, depth
+    def __init__(self, tables: list[DataFrame], shards: int):
+        self.tables, self.shards, self.depth = tables, shards, len(tables)
+        self.levels = functools.reduce(DataFrame.union, tables) if tables else None
 
     def listed(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """df with a boolean column: is the key one of the listed ones?"""
@@ -134,14 +137,14 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
     marked = stored(marked, "universe")
     n = marked.where("listed").count()
     if not n:
-        return Cascade(None, 1, 0)
+        return Cascade([], 1)
     shards = -(-n * BITS_A_KEY // (64 * SHARD_WORDS))
     marked = marked.withColumn("shard", shard_of(F.col("key"), shards))
     inside, outside = marked.where("listed").select("shard", "key"), marked.where("NOT listed").select("shard", "key")
-    levels, level = None, 0
+    levels, level = [], 0
     while True:
         row = stored(_filter(inside, level, shards), "bloom")
-        levels = row if levels is None else levels.union(row)
+        levels.append(row)
         taken = None
         for first in range(0, shards, GROUP):
             held = row.where(F.col("shard").between(first, first + GROUP - 1)).select("shard", F.struct("n_bits", "words").alias("level"))
@@ -151,16 +154,17 @@ def build(universe: DataFrame, listed: DataFrame) -> Cascade:
         taken = stored(taken, "mistaken")
         level += 1
         if not taken.limit(1).count():
-            return Cascade(levels, shards, level)
+            return Cascade(levels, shards)
         inside, outside = taken, inside
 
 
 def judge(pages: DataFrame, blocked_hosts: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule and verdict; hosts that no rule covers are
     blocked if they are among blocked_hosts (key)."""
-    known = stored(with_host_path(pages.select("url")).select(F.col("host").alias("key")).distinct(), "hosts")
-    cascade = build(known, blocked_hosts)
-    drop_stored(known)
+    with scope() as keep:
+        known = stored(with_host_path(pages.select("url")).select(F.col("host").alias("key")).distinct(), "hosts")
+        cascade = build(known, blocked_hosts)
+        keep(*cascade.tables)
     ruled = with_host_path(pages)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     found = cascade.listed(ruled, "host", "_listed__")

@@ -367,6 +367,36 @@ def test_url_edges(spark):
     assert url_filter.judge(df.where("page_id < 0"), bad).count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, repeated and null ids, null texts, clashing columns: every
+    stage keeps the columns, and clean rows as they are."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    item = " ".join(_words(rng, 30))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = " ".join(_words(rng, 60))
+    rows = [(1, clean, "en", "x", 5), (1, clean, "en", "x", 5), (1, " ".join(_words(rng, 50)), "en", "x", 5), (None, " ".join(_words(rng, 40)), None, "x", None), (None, None, None, None, None), (2, "", "en", "x", 0), (3, item, "en", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, row_key_a__ long")
+    kept = {"language_id": rows[:4] + rows[6:], "near_dedup": rows, "decontamination": rows[:6], "personal_data": rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(kept[name], key=str), name
+        assert stage(spark, docs.where("doc_id < 0"), str(tmp_path)).count() == 0
+    assert corpus_pipeline.bpe(spark, docs, str(tmp_path)).count() == len(rows) and corpus_pipeline.bpe(spark, docs.where("doc_id < 0"), str(tmp_path)).count() == 0
+
+
+def test_passages_of_odd_rows(spark):
+    """Rows without an id aren't looked at; rows of one id are one document."""
+    rng = random.Random(17)
+    p = _words(rng, 60)
+    rows = [(None, " ".join(p)), (1, " ".join(p)), (1, " ".join([*_words(rng, 5), *p])), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.repeated_passages(df).count() == 0
+    both = df.union(spark.createDataFrame([(9, " ".join(["w", *p]))], df.schema))
+    assert {(r["doc_id"], r["n_words"]) for r in suffix_dedup.repeated_passages(both).collect()} >= {(9, 60)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
