@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heritas.llm.common import held_out, prepare, stored, table
+from heritas.llm.common import drop_stored, held_out, prepare, scope, stored, table
 
 
 def language_id(spark, docs, sf_dir):
@@ -19,8 +19,9 @@ def language_id(spark, docs, sf_dir):
 
     prepare(spark)
     model = fit(docs.where(~held_out(docs["doc_id"])))
-    found = docs.withColumn("language__", flags(docs, model))
-    return found.where("language__.lang_pred <> 'und'").select(*docs.columns)
+    # The whole row in one column, so that no name of docs clashes.
+    found = docs.select(F.struct("*").alias("row"), flags(docs, model).alias("language"))
+    return found.where("language.lang_pred <> 'und'").select("row.*")
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -33,16 +34,17 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item (all rows of equal id and text)."""
     from heritas.llm.decontamination import contaminated, keyed
 
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
     key = ["row_key_a__", "row_key_b__"]
-    return keyed(docs).join(found.select(*key).distinct(), key, "left_anti").select(*docs.columns)
+    rows = keyed(docs.select("doc_id", "text", F.struct("*").alias("row")))
+    return rows.join(found.select(*key).distinct(), key, "left_anti").select("row.*")
 
 
 def personal_data(spark, docs, sf_dir):
-    """Replace personal data by <kind>; n_chars follows the text."""
+    """Replace personal data by <kind>; n_chars follows the text.  Every row stays."""
     from heritas.llm.pii import masked
 
     out = masked(docs)
@@ -69,5 +71,9 @@ def run(spark, sf_dir):
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scope() as keep:
+            docs = stored(stage(spark, before, sf_dir), f"stage-{name}")
+            keep(docs)
+        drop_stored(before)
     return docs
