@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
 
 
+def _with(bound: Column, use: Callable[[Column], Column]) -> Column:
+    """use(bound), where bound is computed once, also inside of lambdas."""
+    return F.element_at(F.transform(F.array(bound), use), 1)
+
+
 def _squares(values: Column) -> Column:
     """Sum of squared deviations from the mean, in two passes."""
-    centre = _mean(values)
-    return F.aggregate(F.transform(values, lambda x: x - centre), F.lit(0.0), lambda s, d: s + d * d)
+    return _with(_mean(values), lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
 
 
 def axis_variance(rows: DataFrame, index: str, values: str, axis: str = "row", ddof: int = 1) -> DataFrame:
@@ -36,8 +42,7 @@ def axis_variance(rows: DataFrame, index: str, values: str, axis: str = "row", d
 def centred(rows: DataFrame, values: str) -> DataFrame:
     """Rows minus their means."""
     v = F.col(values).cast("array<double>")
-    mean = _mean(v)
-    return rows.withColumn(values, F.transform(v, lambda x: x - mean))
+    return rows.withColumn(values, _with(_mean(v), lambda m: F.transform(v, lambda x: x - m)))
 
 
 def standardised(rows: DataFrame, values: str, ddof: int = 1) -> DataFrame:
@@ -46,8 +51,9 @@ def standardised(rows: DataFrame, values: str, ddof: int = 1) -> DataFrame:
     if ddof not in (0, 1):
         raise InvalidArgument("ddof is 0 or 1")
     v = F.col(values).cast("array<double>")
-    mean, sd = _mean(v), F.sqrt(_squares(v) / F.nullif(F.size(values) - ddof, F.lit(0)))
-    return rows.withColumn(values, F.transform(v, lambda x: F.when(sd > 0, (x - mean) / sd).otherwise(0.0)))
+    sd = F.sqrt(_squares(v) / F.nullif(F.size(values) - ddof, F.lit(0)))
+    both = F.struct(_mean(v).alias("mean"), sd.alias("sd"))
+    return rows.withColumn(values, _with(both, lambda b: F.transform(v, lambda x: F.when(b["sd"] > 0, (x - b["mean"]) / b["sd"]).otherwise(0.0))))
 
 
 def running(series: DataFrame, by: list[str], value: str = "value") -> DataFrame:
