@@ -322,6 +322,43 @@ def reml_components(spark, sf):
     return spark.createDataFrame(got.rows(), "component string, sigma double, se double")
 
 
+# A kernel of one locus has its REML solution in closed form: along the locus the
+# variance is sigma_e + n sigma_g, elsewhere sigma_e.
+_ONE = f"""{encoding_sql('OCH', 'add')}, y AS MATERIALIZED (SELECT vec_id AS i, CAST(label AS DOUBLE) - (SELECT avg(CAST(label AS DOUBLE)) FROM embeddings) AS r FROM embeddings),
+ l AS MATERIALIZED (SELECT j, any_value(p) AS f, sum(z * z) AS s, sum(z * r) AS b FROM enc JOIN y USING (i) GROUP BY j), best AS MATERIALIZED (SELECT j, s, b FROM l WHERE s > 1e-12 ORDER BY round(b * b / s, 9) DESC, j LIMIT 1),
+ fit AS MATERIALIZED (SELECT count(*) AS n, (sum(r * r) - any_value(b) * any_value(b) / any_value(s)) / (count(*) - 2) AS ve, any_value(b) * any_value(b) / any_value(s) AS la, any_value(s) AS s, any_value(b) AS b, any_value(j) AS best FROM y, best)"""
+
+
+def _rank_one(spark, sf) -> tuple[reml.Model, reml.Fit]:
+    """The null model whose kernel is that of the locus with the largest effect."""
+    y = px.phenotype(spark, sf)
+    z = {r["snp_idx"]: np.array(r["z"]) for r in gt.with_encoding(px.loci(spark, sf), "OCH", "add").select("snp_idx", "z").collect()}
+    share = {j: round(float(x @ (y - y.mean())) ** 2 / float(x @ x), 9) for j, x in z.items() if x @ x > 1e-12}
+    own = z[min(share, key=lambda j: (-share[j], j))]
+    model = reml.Model(y, np.ones((len(y), 1)), {"add": np.outer(own, own) * (len(y) / float(own @ own))})
+    return model, reml.fit(model, tol=1e-8)
+
+
+@register("reml_rank_one", f"""WITH {px.GENO}, {_ONE}, g AS (SELECT *, (la - ve) / n AS vg, -0.5 * ((n - 2) * ln(ve) + ln(la) + ln(n) + n - 1) AS ll FROM fit)
+ SELECT round(ve, 4) + 0.0::DOUBLE AS sigma_e, round(vg, 4) + 0.0::DOUBLE AS sigma_g, round(vg / (ve + vg), 4) + 0.0::DOUBLE AS h2, round(ll, 3) + 0.0::DOUBLE AS log_likelihood, round(-2 * ll + 6, 3) + 0.0::DOUBLE AS aic, round(-2 * ll + 3 * ln(n), 3) + 0.0::DOUBLE AS bic, (SELECT round(avg(CAST(label AS DOUBLE)), 4) + 0.0::DOUBLE FROM embeddings) AS beta FROM g""")
+def reml_rank_one(spark, sf):
+    """EM and AI steps to the solution that SQL has in closed form."""
+    _, f = _rank_one(spark, sf)
+    rounded = [round(float(v), d) + 0.0 for v, d in ((f.sigma[0], 4), (f.sigma[1], 4), (f.heritability["add"][0], 4), (f.log_likelihood, 3), (f.aic, 3), (f.bic, 3), (f.beta[0], 4))]
+    return spark.createDataFrame([tuple(rounded)], "sigma_e double, sigma_g double, h2 double, log_likelihood double, aic double, bic double, beta double")
+
+
+@register("gwas_rank_one", f"""WITH {px.GENO}, {_ONE}, x AS (SELECT e.j, sum(e.z * o.z) AS g FROM enc e JOIN enc o ON o.i = e.i, best WHERE o.j = best.j GROUP BY e.j),
+ t AS (SELECT l.j, l.f, (l.b - (la - ve) / (fit.s * la) * x.g * fit.b) / ve AS u, (l.s - (la - ve) / (fit.s * la) * x.g * x.g) / ve AS d FROM l JOIN x ON x.j = l.j, fit)
+ SELECT j AS snp_idx, {s6('f', 'a1_freq')}, round(u / d, 4) + 0.0::DOUBLE AS beta, round(1 / sqrt(d), 4) + 0.0::DOUBLE AS se, round({erfc_sql('abs(u / sqrt(d)) / sqrt(2)')}, 4) + 0.0::DOUBLE AS p FROM t""")
+def gwas_rank_one(spark, sf):
+    """The scan under a dense V of that model."""
+    model, f = _rank_one(spark, sf)
+    out = assoc.scan(px.loci(spark, sf), f.v_inverse, assoc.adjusted(model, f))
+    near = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
+    return out.select(F.col("snp_idx").cast("int").alias("snp_idx"), r6("a1_freq", "a1_freq"), near("beta"), near("se"), near("p"))
+
+
 @register("gwas_mlm")
 def gwas_mlm(spark, sf):
     y, x, k = _null(spark, sf)

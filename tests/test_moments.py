@@ -105,3 +105,19 @@ def test_push_down_of_loci(spark, tmp_path):
     assert [r["snp_idx"] for r in part.select("snp_idx").orderBy("snp_idx").collect()] == [12, 14, 15, 16, 17, 18, 19]
     assert part.rdd.getNumPartitions() <= 2
     assert back.where("snp_idx > 60").count() == 0 and back.where(F.col("snp_idx") == 49).first()["dosage"] == g[49].tolist()
+
+
+def test_transforms_on_the_driver_and_in_columns(spark):
+    """What `assoc --transform` computes is what the columns' operators do."""
+    from heritas.operators import design
+    from heritas.plans import commands
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=80)
+    y = np.round(2 * x + rng.exponential(size=80), 1)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x))], "i int, y double, x double")
+    for how, got in (("dint", design.direct_int(df)), ("iint", design.indirect_int(df, "y", ["x"]))):
+        data = commands._Data.__new__(commands._Data)
+        data.y, data.x = y.copy(), np.column_stack([np.ones(80), x])
+        data.transform(how, 0.375)
+        assert np.allclose(data.y, [r["y_int"] for r in got.orderBy("i").collect()], atol=1e-6), how
