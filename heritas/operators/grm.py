@@ -66,9 +66,10 @@ def tiles_of(encoded: DataFrame, tile: int = TILE, n: int | None = None) -> Data
                         held[key] += sum_
                     else:
                         held[key] = sum_
-            if len(held) > 2 * HELD_TILES:  # several groups or parts met here
-                yield _tile_batch(held)
-                held = {}
+                    # Without groups, or where several parts met here.
+                    if len(held) >= HELD_TILES + bool(groups):
+                        yield _tile_batch(held)
+                        held = {}
         if held:
             yield _tile_batch(held)
 
