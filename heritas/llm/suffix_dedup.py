@@ -51,6 +51,8 @@ LENGTH, GRAM = 50, 33
 #: extensions to either side are compared.
 REACH = LENGTH - GRAM
 MAP_BITS = 1 << 26
+#: Suffixes whose extensions are hashed at once (memory bound for long texts).
+AT_ONCE = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -100,13 +102,13 @@ class Text:
         side's end counts as a word that nothing equals."""
         right = np.empty((len(at), REACH), np.uint16)
         left = np.empty((len(at), REACH), np.uint16)
-        for i in range(REACH):
-            stop, start = at + GRAM + 1 + i, at - 1 - i
-            over, under = stop > self.n, start < 0
-            right[:, i] = self.range_hash(at, np.minimum(stop, self.n)) >> np.uint64(48)
-            left[:, i] = self.range_hash(np.maximum(start, 0), at) >> np.uint64(48)
-            right[over, i] = 0
-            left[under, i] = 0
+        step = np.arange(1, REACH + 1)
+        for i in range(0, len(at), AT_ONCE):
+            here = at[i : i + AT_ONCE, None]
+            stop, start = here + GRAM + step, here - step
+            same = np.broadcast_to(here, stop.shape)
+            right[i : i + AT_ONCE] = np.where(stop > self.n, 0, self.range_hash(same, np.minimum(stop, self.n)) >> np.uint64(48))
+            left[i : i + AT_ONCE] = np.where(start < 0, 0, self.range_hash(np.maximum(start, 0), same) >> np.uint64(48))
         return right.astype(">u2"), left.astype(">u2")
 
     def room(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
