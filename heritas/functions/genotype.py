@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from heritas.errors import InvalidArgument
 
 MONOMORPHIC_BELOW = 1e-10
+#: Class of a missing genotype beside 0, 1 and 2.
+MISSING = 3
 
 
 @dataclass(frozen=True)
@@ -133,11 +135,16 @@ def allele_frequency(geno: DataFrame) -> DataFrame:
 
 def moments(geno: DataFrame, name: str | Method, kind: str = "add") -> DataFrame:
     """snp_idx, n_valid, a1_freq, mean, sd, is_monomorphic."""
-    m = method(name)
     # One aggregation: every code is a number per genotype class, so counts of
     # the classes hold all that the moments need.
     n = {k: F.sum(F.when(F.col("g") == k, 1).otherwise(0)).alias(f"n{k}") for k in (0, 1, 2)}
-    one = geno.groupBy("snp_idx").agg(*n.values()).withColumn("n_valid", F.col("n0") + F.col("n1") + F.col("n2"))
+    return moments_of(geno.groupBy("snp_idx").agg(*n.values()), name, kind)
+
+
+def moments_of(counts: DataFrame, name: str | Method, kind: str = "add") -> DataFrame:
+    """The moments from class counts: snp_idx, n0, n1, n2."""
+    m = method(name)
+    one = counts.withColumn("n_valid", F.col("n0") + F.col("n1") + F.col("n2"))
     one = one.withColumn("a1_freq", F.when(F.col("n_valid") > 0, (F.col("n1") + 2 * F.col("n2")) / (2 * F.col("n_valid"))))
     p = F.coalesce("a1_freq", F.lit(0.0))
     valid = F.greatest(F.col("n_valid"), F.lit(1))
@@ -162,6 +169,19 @@ def encode_long(geno: DataFrame, name: str | Method, kind: str = "add") -> DataF
     return geno.join(at, "snp_idx").withColumn("z", z)
 
 
+def class_codes(counts: DataFrame, name: str | Method, kind: str = "add") -> DataFrame:
+    """snp_idx, a1_freq, z0, z1, z2: the codes of the three classes, from class
+    counts.  A missing genotype's code is 0."""
+    m = method(name)
+    z = [_scaled(F.coalesce(encoded(F.lit(float(k)), F.col("a1_freq"), m, kind) - F.col("mean"), F.lit(0.0)), F.col("sd"), m).alias(f"z{k}") for k in (0, 1, 2)]
+    return moments_of(counts, m, kind).select("snp_idx", "a1_freq", *z)
+
+
+def dosage_classes(dosage: Column) -> Column:
+    """The class of each genotype of an array."""
+    return F.transform(dosage, lambda x: F.coalesce(x.cast("tinyint"), F.lit(MISSING).cast("tinyint")))
+
+
 def to_loci(geno: DataFrame) -> DataFrame:
     """Long form to array form (a locus's genotypes meet in one row)."""
     rows = geno.groupBy("snp_idx").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "g"))).alias("cells"))

@@ -1,8 +1,10 @@
-"""Variance components by restricted maximum likelihood (dense, on the driver).
+"""Variance components by restricted maximum likelihood.
 
 Components are ordered residual, random effects, genetic effects.  The fit
-takes one EM step, then average-information steps.  Memory is a few n x n
-matrices, which grm.DRIVER_SAMPLES bounds.
+takes one EM step, then average-information steps.  Of dense kernels (Model) the
+driver holds a few n x n matrices, which grm.DRIVER_SAMPLES bounds.  Kernels of few
+loci (Factored) are never made: all that the same steps need comes from the products
+over samples, loci by loci, for any number of samples.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from heritas.errors import NumericalError
+from heritas.errors import InvalidArgument, NumericalError
+from heritas.operators.products import Products
 
 
 @dataclass
@@ -31,6 +34,62 @@ class Model:
     def names(self) -> list[str]:
         return ["residual", *self.random, *self.genetic]
 
+    @property
+    def samples(self) -> int:
+        return len(self.y)
+
+    @property
+    def variance(self) -> float:
+        return float(self.y.var(ddof=1))
+
+    @property
+    def terms(self) -> int:
+        return self.x.shape[1]
+
+
+@dataclass
+class Factored:
+    """A model with an intercept whose kernels are F F', F being columns of products
+    (operators.products) times a factor.  genetic: block, kept columns of it, and
+    the number that F F' is divided by."""
+
+    products: Products
+    genetic: dict[str, tuple[str, np.ndarray | None, float]]
+    random: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.random:
+            raise InvalidArgument("random effects need a dense model")
+        own, by, self.own = [], [], {}
+        for name, (block, keep, k) in self.genetic.items():
+            at = self.products.columns(block)
+            at = at if keep is None else at[np.asarray(keep)]
+            self.own[name] = slice(2 + len(own), 2 + len(own) + len(at))
+            own, by = own + at.tolist(), by + [1 / np.sqrt(k)] * len(at)
+        self.places, self.factors = np.array([0, 1, *own]), np.array([1.0, 1.0, *by])
+        #: Products of the intercept, y and the factors' columns.
+        self.gram = self.products.gram[np.ix_(self.places, self.places)] * np.outer(self.factors, self.factors)
+
+    @property
+    def names(self) -> list[str]:
+        return ["residual", *self.genetic]
+
+    @property
+    def samples(self) -> int:
+        return self.products.n
+
+    @property
+    def variance(self) -> float:
+        return self.products.variance
+
+    @property
+    def terms(self) -> int:
+        return 1
+
+    def against(self, block: str) -> np.ndarray:
+        """Products of a block's columns with those of gram."""
+        return self.products.gram[np.ix_(self.products.columns(block), self.places)] * self.factors
+
 
 @dataclass
 class Fit:
@@ -46,17 +105,19 @@ class Fit:
     bic: float
     iterations: int
     converged: bool
-    v_inverse: np.ndarray
+    v_inverse: np.ndarray | None
     warnings: list[str]
+    #: Of a factored model, which has no v_inverse: the point that was reached.
+    point: FactoredPoint | None = None
 
     def rows(self) -> list[tuple[str, float, float]]:
         return [(n, float(s), float(e)) for n, s, e in zip(self.names, self.sigma, self.sigma_se)]
 
 
-def initial(model: Model) -> np.ndarray:
+def initial(model: Model | Factored) -> np.ndarray:
     """Half of the variance is residual; genetic effects share the other half;
     random effects share a fifth."""
-    v = model.y.var(ddof=1)
+    v = model.variance
     g, r = len(model.genetic), len(model.random)
     return np.array([0.5 * v, *[0.2 * v / max(r, 1)] * r, *[0.5 * v / max(g, 1)] * g])
 
@@ -80,7 +141,50 @@ class Point:
     log_likelihood: float
 
 
-def evaluate(model: Model, sigma: np.ndarray) -> Point:
+@dataclass
+class FactoredPoint:
+    """The same without n x n numbers.  V^-1 and P map the span of the columns
+    B = [1, y, F] to itself: V^-1 B = B v, P B = B p."""
+
+    v: np.ndarray
+    p: np.ndarray
+    bvb: np.ndarray
+    bpb: np.ndarray
+    xvx_inverse: np.ndarray
+    log_likelihood: float
+    #: V^-1 = (I - F middle F') / sigma_e.
+    middle: np.ndarray
+    sigma_e: float
+    trace_p: float
+
+    def quadratic(self, w: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """w' V^-1 w of columns from their products with B and their squares' sums."""
+        own = w[:, 2:]
+        return (size - np.einsum("ij,jk,ik->i", own, self.middle, own)) / self.sigma_e
+
+
+def evaluate_factored(model: Factored, sigma: np.ndarray) -> FactoredPoint:
+    g, wide = model.gram, [at.stop - at.start for at in model.own.values()]
+    d = np.sqrt(np.repeat(sigma[1:], wide))
+    inner, logdet = _inverse(sigma[0] * np.eye(len(d)) + np.outer(d, d) * g[2:, 2:], "V")
+    middle = np.outer(d, d) * (inner + inner.T) / 2
+    v = np.eye(len(g))
+    v[2:] -= middle @ g[2:]
+    v /= sigma[0]
+    bvb = g @ v
+    bvb = (bvb + bvb.T) / 2
+    xvx, logdet_x = _inverse(bvb[:1, :1], "X'V^-1X")
+    onto = np.zeros_like(v)
+    onto[:1] = xvx @ bvb[:1]
+    p, bpb = v - v @ onto, bvb - bvb[:, :1] @ onto[:1]
+    trace = (model.samples - float((middle * g[2:, 2:]).sum())) / sigma[0] - float(np.trace(xvx @ (v.T @ g @ v)[:1, :1]))
+    logdet_v = (model.samples - len(d)) * float(np.log(sigma[0])) + logdet
+    return FactoredPoint(v, p, bvb, bpb, xvx, -0.5 * (logdet_v + logdet_x + float(bpb[1, 1])), middle, float(sigma[0]), trace)
+
+
+def evaluate(model: Model | Factored, sigma: np.ndarray) -> Point | FactoredPoint:
+    if isinstance(model, Factored):
+        return evaluate_factored(model, sigma)
     v = np.diag(np.full(len(model.y), sigma[0]))
     for s, k in zip(sigma[1:], model.kernels):
         v = v + s * k
@@ -93,25 +197,34 @@ def evaluate(model: Model, sigma: np.ndarray) -> Point:
     return Point(vi, p, py, xvx, -0.5 * (logdet_v + logdet_x + float(model.y @ py)))
 
 
-def em_step(model: Model, sigma: np.ndarray, at: Point) -> np.ndarray:
-    n, out = len(model.y), []
-    for s, k in zip(sigma, [None, *model.kernels]):
-        quad = at.py @ at.py if k is None else at.py @ k @ at.py
-        trace = np.trace(at.p) if k is None else float((at.p * k).sum())
-        out.append((s * s * quad - s * s * trace + n * s) / n)
-    return np.array(out)
-
-
-def information(model: Model, at: Point) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient, and the (negative) average-information matrix."""
+def _derivatives(model: Model | Factored, at: Point | FactoredPoint) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y'P K P y and tr(P K) of every component's K, and the products y'P K P K P y."""
+    if isinstance(model, Factored):
+        u = np.zeros((len(model.gram), 1 + len(model.own)))
+        u[:, 0] = at.p[:, 1]
+        for k, own in enumerate(model.own.values(), 1):
+            u[own, k] = at.bpb[own, 1]
+        quads = [at.p[:, 1] @ model.gram @ at.p[:, 1], *[float(at.bpb[own, 1] @ at.bpb[own, 1]) for own in model.own.values()]]
+        return np.array(quads), np.array([at.trace_p, *[np.trace(at.bpb[own, own]) for own in model.own.values()]]), u.T @ at.bpb @ u
     kpy = [at.py, *[k @ at.py for k in model.kernels]]
     traces = [np.trace(at.p), *[float((at.p * k).sum()) for k in model.kernels]]
-    gradient = np.array([-0.5 * (t - float(at.py @ u)) for t, u in zip(traces, kpy)])
     u = np.stack(kpy, axis=1)
-    return gradient, -0.5 * u.T @ at.p @ u
+    return np.array([float(at.py @ x) for x in kpy]), np.array(traces), u.T @ at.p @ u
+
+
+def em_step(model: Model | Factored, sigma: np.ndarray, at: Point | FactoredPoint) -> np.ndarray:
+    n = model.samples
+    quads, traces, _ = _derivatives(model, at)
+    return (sigma * sigma * quads - sigma * sigma * traces + n * sigma) / n
+
+
+def information(model: Model | Factored, at: Point | FactoredPoint) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient, and the (negative) average-information matrix."""
+    quads, traces, both = _derivatives(model, at)
+    return -0.5 * (traces - quads), -0.5 * both
 
 
-def ai_step(model: Model, sigma: np.ndarray, at: Point) -> np.ndarray:
+def ai_step(model: Model | Factored, sigma: np.ndarray, at: Point | FactoredPoint) -> np.ndarray:
     gradient, hessian = information(model, at)
     return sigma - np.linalg.pinv(hessian) @ gradient
 
@@ -165,8 +278,9 @@ def loco_report(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
     return spark.createDataFrame(rows, "chrom string, log_likelihood double, component string, variance double, heritability double, converged boolean")
 
 
-def fit(model: Model, max_iter: int = 100, tol: float = 1e-6) -> Fit:
-    sigma, var_y = initial(model), float(model.y.var(ddof=1))
+def fit(model: Model | Factored, max_iter: int = 100, tol: float = 1e-6) -> Fit:
+    """random_values: predicted effects; of a factored model, its columns' effects."""
+    sigma, var_y = initial(model), model.variance
     at, before, done, warnings, turn = None, None, False, [], 0
     for turn in range(max_iter + 1):
         at = evaluate(model, sigma)
@@ -186,13 +300,18 @@ def fit(model: Model, max_iter: int = 100, tol: float = 1e-6) -> Fit:
     _, hessian = information(model, at)
     cov = -np.linalg.pinv(hessian)
     se = np.sqrt(np.maximum(np.diag(cov), 0))
-    beta = at.xvx_inverse @ (model.x.T @ (at.v_inverse @ model.y))
-    values = {n: s * (k @ at.py) for n, s, k in zip(model.names[1:], sigma[1:], model.kernels)}
+    if isinstance(model, Factored):
+        beta = at.xvx_inverse @ at.bvb[:1, 1] + model.products.y_mean
+        values = {n: s * model.factors[own] * at.bpb[own, 1] for (n, own), s in zip(model.own.items(), sigma[1:])}
+    else:
+        beta = at.xvx_inverse @ (model.x.T @ (at.v_inverse @ model.y))
+        values = {n: s * (k @ at.py) for n, s, k in zip(model.names[1:], sigma[1:], model.kernels)}
     total, h2 = sigma.sum(), {}
     for i, name in enumerate(model.names):
         if name in model.genetic:
             slope = np.full(len(sigma), -sigma[i] / total**2)
             slope[i] += 1 / total
             h2[name] = (float(sigma[i] / total), float(np.sqrt(max(slope @ cov @ slope, 0))))
-    k = len(sigma) + model.x.shape[1]
-    return Fit(model.names, sigma, se, beta, np.sqrt(np.diag(at.xvx_inverse)), values, h2, at.log_likelihood, -2 * at.log_likelihood + 2 * k, -2 * at.log_likelihood + k * float(np.log(len(model.y))), turn, done, at.v_inverse, warnings)
+    k, n = len(sigma) + model.terms, model.samples
+    narrow = at if isinstance(model, Factored) else None
+    return Fit(model.names, sigma, se, beta, np.sqrt(np.diag(at.xvx_inverse)), values, h2, at.log_likelihood, -2 * at.log_likelihood + 2 * k, -2 * at.log_likelihood + k * float(np.log(n)), turn, done, None if narrow else at.v_inverse, warnings, narrow)
