@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,12 +141,53 @@ def _number(c: str, how: str):
 
 
 def write_lines(df: DataFrame, path: str, header: list[str], order: str) -> None:
-    """Tab-separated text with a header, in order.  Spark sorts and formats;
-    rows stream to one file through the driver, partition by partition."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\t".join(header) + "\n")
-        for r in df.orderBy(order).drop(order).toLocalIterator(prefetchPartitions=True):
-            f.write("\t".join(str(x) for x in r) + "\n")
+    """Tab-separated text with a header, in order.  Spark sorts and formats; tasks
+    write sorted pieces beside the file and then put them at their places in it, where
+    executors see its folder (shared).  Elsewhere rows stream through the driver."""
+    rows = df.orderBy(order).drop(order)
+    head = ("\t".join(header) + "\n").encode()
+    if not shared(df.sparkSession, path):
+        with open(path, "wb") as f:
+            f.write(head)
+            for r in rows.toLocalIterator(prefetchPartitions=True):
+                f.write(("\t".join(str(x) for x in r) + "\n").encode())
+        return
+    pieces = tempfile.mkdtemp(prefix="pieces-", dir=os.path.dirname(os.path.abspath(path)))
+    line = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in rows.columns])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own = os.path.join(pieces, f"{task.partitionId()}-{task.taskAttemptId()}")
+        with open(own, "wb") as f:
+            for b in batches:
+                f.writelines(x.encode() + b"\n" for x in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([own]), pa.array([os.path.getsize(own)], pa.int64())], names=["part", "piece", "size"])
+
+    done, at = [], len(head)
+    for r in sorted(rows.select(line.alias("line")).mapInArrow(write, "part long, piece string, size long").collect()):
+        done.append((r["piece"], at))
+        at += r["size"]
+    with open(path, "wb") as f:
+        f.write(head)
+        f.truncate(at)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with open(done[k][0], "rb") as piece, open(path, "r+b") as f:
+                    f.seek(done[k][1])
+                    shutil.copyfileobj(piece, f, 1 << 20)
+            yield b
+
+    df.sparkSession.range(len(done), numPartitions=max(1, min(len(done), 64))).mapInArrow(place, "id long").agg(F.count("*")).first()
+    shutil.rmtree(pieces)
+
+
+def shared(spark: SparkSession, path: str) -> bool:
+    """Whether driver and executors see a path: all on one machine, or below
+    spark.checkpoint.dir."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").rstrip("/")
+    return spark.sparkContext.master.startswith("local") or bool(base) and os.path.abspath(path).startswith(base + "/")
 
 
 def gwas_rows(results: DataFrame, variants: DataFrame) -> DataFrame:

@@ -142,3 +142,23 @@ def test_encoded_and_chains(tmp_path):
         open(path, "ab").write(b"\0")
         with pytest.raises(e.FileFormatError):
             binary.read_chain(path)
+
+
+def test_lines_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from heritas.sources import tables
+
+    def refuse(*a, **b):
+        raise AssertionError("rows came to the driver")
+
+    rows = spark.range(5000).selectExpr("id AS k", "CAST(id AS string) AS a", "CASE WHEN id % 7 > 0 THEN id / 4 END AS b").repartition(7)
+    want = "a\tb\n" + "".join(f"{i}\t{i / 4 if i % 7 else None}\n" for i in range(5000))
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", refuse)
+        m.setattr(type(rows), "toLocalIterator", refuse)
+        tables.write_lines(rows, str(tmp_path / "x"), ["a", "b"], "k")
+    assert (tmp_path / "x").read_text() == want and [p.name for p in tmp_path.iterdir()] == ["x"]
+    monkeypatch.setattr(tables, "shared", lambda *a: False)
+    tables.write_lines(rows, str(tmp_path / "y"), ["a", "b"], "k")
+    assert (tmp_path / "y").read_text() == want
